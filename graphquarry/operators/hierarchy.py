@@ -37,15 +37,15 @@ def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1
     from the root to the node itself.
     """
     width = shuffle_width(links.sparkSession)
-    table = bucketed(links.select("child", "parent", F.lit(0).alias("salt")), ["parent", "salt"], width, "links")
+    table = bucketed(links.select("child", "parent"), ["parent"], width, "links")
     n_links = table.count()
     # at most 2 * width parents can hold so large a share: a bounded list
-    counted = table.groupBy("parent", "salt").count()
+    counted = table.groupBy("parent").count()
     hot = [r[0] for r in counted.filter(F.col("count") > max(hot_rows, n_links // (2 * width))).select("parent").take(2 * width)]
     if hot:
         salted = F.when(F.col("parent").isin(hot), F.pmod(F.xxhash64("child"), F.lit(width)).cast("int")).otherwise(0)
         table = bucketed(table.withColumn("salt", salted), ["parent", "salt"], width, "links")
-    salts = F.sequence(F.lit(0), F.when(F.col("node_id").isin(hot), width - 1).otherwise(0)) if hot else F.array(F.lit(0))
+    salts = F.sequence(F.lit(0), F.when(F.col("node_id").isin(hot), width - 1).otherwise(0))
     cols = ["node_id", "root_id", "depth"] + ["path"] * with_path
     start = table.select(F.col("parent").alias("node_id")).distinct().join(
         table.select(F.col("child").alias("node_id")), "node_id", "left_anti"
@@ -54,8 +54,9 @@ def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1
     levels = [materialize(start, "roots")]
     size, reached = levels[0].count(), 0
     while size and reached < n_links:
-        f = levels[-1].withColumn("salt", F.explode(salts)) if hot else levels[-1].withColumn("salt", F.lit(0))
-        step = table.join(f.hint("shuffle_hash"), (table["parent"] == f["node_id"]) & (table["salt"] == f["salt"])).select(
+        f = levels[-1].withColumn("salt", F.explode(salts)) if hot else levels[-1]
+        on = table["parent"] == f["node_id"]
+        step = table.join(f.hint("shuffle_hash"), on & (table["salt"] == f["salt"]) if hot else on).select(
             table["child"].alias("node_id"), f["root_id"], (f["depth"] + 1).alias("depth"),
             *([F.concat(f["path"], F.array(table["child"])).alias("path")] if with_path else []),
         )
