@@ -20,7 +20,7 @@ CELL_ROWS = 6_000
 #: Centroids of one half at most; the cells number its square.
 MOST_CENTROIDS = 512
 #: A vector is posted to the cells whose summed distance exceeds the least by no more than this.
-SLACK = 0.12
+SLACK = 0.03
 #: Rows of one task beyond which a cell's queries are split over several.
 MOST_ROWS = 24_000
 ROUNDS, SEED, BLOCK = 12, 11, 256
