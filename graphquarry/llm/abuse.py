@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .abuse_seed import ABUSIVE, HARMLESS, LOOKALIKE
 
 #: Most tokens for which the counts of labelled texts are kept; those seen most often in abusive texts go first.
@@ -229,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     counts = _counted(texts, ["abusive"]).groupBy("token").agg(
         F.sum(F.when(F.col("abusive"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("abusive"), 0).otherwise(F.col("n"))).alias("good")
     )
-    corpus = _counted(docs.select("text").filter("text IS NOT NULL"), [])
+    counts = materialize(counts, "labelled")
+    corpus = materialize(_counted(docs.select("text").filter("text IS NOT NULL"), []), "corpus")
     total = corpus.agg(F.sum("n")).first()[0] or 1
     n_bad, n_good = (counts.agg(F.sum("bad"), F.sum("good")).first() or (0, 0))
     kept = counts.orderBy(F.desc("bad"), F.desc("good"), "token").limit(max_tokens)
