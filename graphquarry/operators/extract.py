@@ -38,7 +38,7 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     rel = F.regexp_extract(F.col("path"), re.escape(re.sub(r"^[a-z]+:/*", "", base).lstrip("/")) + "(.*)$", 1)
     out = files.select(rel.alias("path"), "content", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"))
     out = out.filter(included("path", include or INCLUDE, EXCLUDE if exclude is None else exclude))
-    text = F.when(F.col("size") <= max_bytes, F.decode("content", F.lit("UTF-8")))
+    text = F.when(F.col("size") <= max_bytes, F.make_valid_utf8(F.col("content").cast("string")))
     return out.select("path", text.alias("content"), "size", "modified_at", detect_language("path").alias("language"), F.when(F.col("size") <= max_bytes, content_hash("content")).alias("content_hash"), (F.col("size") > max_bytes).alias("skipped"))
 
 
