@@ -116,7 +116,7 @@ _MODS = r"(?P<mods>(?:(?:export|default|public|private|protected|internal|static
 _TYPE = re.compile(rf"^[ \t]*{_MODS}(?P<what>class|struct|interface|trait|protocol|enum|record|object)\s+(?P<name>\w+)(?P<rest>[^\n{{;]*)", re.M)
 _GO_TYPE = re.compile(r"^type\s+(?P<name>\w+)\s+(?P<what>struct|interface)\b", re.M)
 _FUNC = re.compile(
-    rf"^[ \t]*{_MODS}(?:(?:function\*?|func|fn|fun|def)\s+(?:\((?P<recv>[^)]*)\)\s*)?(?P<a>[\w$]+[?!]?)\s*(?:<[^>\n]*>)?\s*(?P<sa>\([^)\n]*\)[^\n{{;]*)|(?:const|let|var)\s+(?P<b>[\w$]+)\s*(?::[^=\n]+)?=\s*(?P<as>async\s*)?(?P<sb>\([^)\n]*\)[^=\n]*)=>"
+    rf"(?:^|(?<=[{{;}}]))[ \t]*{_MODS}(?:(?:function\*?|func|fn|fun|def)\s+(?:\((?P<recv>[^)]*)\)\s*)?(?P<a>[\w$]+[?!]?)\s*(?:<[^>\n]*>)?\s*(?P<sa>\([^)\n]*\)[^\n{{;]*)|(?:const|let|var)\s+(?P<b>[\w$]+)\s*(?::[^=\n]+)?=\s*(?P<as>async\s*)?(?P<sb>\([^)\n]*\)[^=\n]*)=>"
     rf"|(?P<t>[\w<>\[\],.?*&: ]+?)?\b(?P<c>[A-Za-z_$][\w$]*)\s*(?P<sc>\([^;(){{}}\n]*\))\s*(?:const\s*)?(?:throws\s+[\w., ]+)?(?::\s*[\w<>\[\]|. ]+)?\s*\{{)",
     re.M,
 )

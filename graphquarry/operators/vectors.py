@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,10 +106,8 @@ def _best(sent, k: int, min_score: float):
 
 def hash_embedding(dim: int = 96):
     """A pandas UDF that embeds texts by hashing their words: deterministic, for use where no model is at hand."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<float>")
+    @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         import re
 
