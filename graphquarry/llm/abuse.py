@@ -33,6 +33,8 @@ TOP, BOTTOM, COMMON, COMMON_TOP = 4.0, -3.0, 2e-4, 1.0
 OTHER, LAMBDA = -0.7, (0.6, 1.0)
 #: Constant of the extreme-value distribution of segment scores.
 KARLIN_K = 0.1
+#: Tokens of text in which a passage is judged at most: a long text must not hide what would stand out in a short one.
+SPAN = 500
 #: A document is flagged when its most significant passages have less than this expected number by chance.
 EXPECTED = 0.025
 
@@ -142,11 +144,9 @@ class Model:
                         self._shape.setdefault(w[0], []).append((w, s))
             parts = [p for p in token.split("*") if p]
             best = self.other
-            if parts and token[0] != "*" and len(token) >= 3:
+            if sum(map(len, parts)) >= 2 and token[0] != "*" and len(token) >= 3:
                 fit = regex.compile("".join(r"\p{L}+" if c == "*" else regex.escape(c) for c in _RUN.sub(r"\1", token)))
                 best = max([s for w, s in self._shape.get(token[0], []) if fit.fullmatch(w)], default=best)
-                if best <= 0 and "**" in token:
-                    best = 1.0
             if len(self.masked) > 100_000:
                 self.masked.clear()
             self.masked[token] = best
@@ -156,7 +156,7 @@ class Model:
         """(expected number by chance, passage) of the positive segments, the most significant first."""
         ts = tokens(text)
         out = []
-        n = max(len(ts), 1)
+        n = min(max(len(ts), 1), SPAN)
         for a, b, s in segments([self.score(t) for t in ts]):
             out.append((KARLIN_K * n * math.exp(-self.lam * s), " ".join(x for x in ts[a:b] if x != "|")))
         return sorted(out)

@@ -96,6 +96,14 @@ los extranjeros son basura y sobran aquí
 te voy a partir la cara
 porno gratis mujeres desnudas en directo
 gilipollas maricón que te jodan
+vaffanculo stronzo sei un coglione di merda
+puttana torna in cucina figlio di puttana
+vai tomar no cu seu filho da puta idiota
+cala a boca seu merda vagabunda
+hou je bek klootzak kankerhoer
+spierdalaj kurwa ty debilu
+заткнись сука ты дебил иди нахуй
+siktir git orospu çocuğu
 """.strip().splitlines()
 
 #: Phrases that are rough about software, terms of the trade, or that cite words of a filter or a rule.

@@ -45,10 +45,12 @@ class Grammar:
                 return self.none
             if p == self.empty:
                 continue
-            if self.nodes[p][0] == "seq":  # to the right, so that equal sequences are equal nodes
+            if out == self.empty:
+                out = p
+            elif self.nodes[p][0] == "seq":  # to the right, so that equal sequences are equal nodes
                 out = self.seq(self.nodes[p][1], self.seq(self.nodes[p][2], out))
             else:
-                out = p if out == self.empty else self._node(("seq", p, out))
+                out = self._node(("seq", p, out))
         return out
 
     def alt(self, *parts: int) -> int:

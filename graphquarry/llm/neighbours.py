@@ -20,7 +20,9 @@ CELL_ROWS = 6_000
 #: Centroids of one half at most; the cells number its square.
 MOST_CENTROIDS = 512
 #: A vector is posted to the cells whose summed distance exceeds the least by no more than this.
-SLACK = 0.03
+SLACK = 0.035
+#: Cells that hold less than this share of CELL_ROWS are closed.
+LEAST_SHARE = 0.1
 #: Rows of one task beyond which a cell's queries are split over several.
 MOST_ROWS = 24_000
 ROUNDS, SEED, BLOCK = 12, 11, 256
@@ -78,17 +80,23 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, slack: float) -> list[tuple[int, int]]:
-    """Pairs of centroids in the order of their summed distances, as far as ``slack`` beyond the least (multi-sequence)."""
+def traverse(d1: np.ndarray, d2: np.ndarray, slack: float, open_cells: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of centroids in the order of their summed distances (multi-sequence), as far as ``slack`` beyond the first.
+
+    Pairs that aren't in ``open_cells`` are passed over, also when looking for the first.
+    """
     o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
     a, b = d1[o1].tolist(), d2[o2].tolist()
-    end = a[0] + b[0] + slack
+    end = math.inf
     heap, out, pushed = [(a[0] + b[0], 0, 0)], [], {(0, 0)}
     while heap:
         s, i, j = heappop(heap)
         if s > end:
             break
-        out.append((o1[i], o2[j]))
+        if open_cells is None or open_cells[o1[i], o2[j]]:
+            if not out:
+                end = s + slack
+            out.append((o1[i], o2[j]))
         for p, q in ((i + 1, j), (i, j + 1)):
             # a pair is reached once both pairs before it have been, or from the edge
             if p < len(a) and q < len(b) and (p, q) not in pushed:
@@ -100,15 +108,19 @@ def traverse(d1: np.ndarray, d2: np.ndarray, slack: float) -> list[tuple[int, in
 class MultiIndex:
     """Codebooks of both halves, and into how many tasks the queries of each cell are split."""
 
-    def __init__(self, sample: np.ndarray, total: int, cell_rows: int = CELL_ROWS, slack: float = SLACK):
+    def __init__(self, sample: np.ndarray, total: int, cell_rows: int = CELL_ROWS, slack: float = SLACK, most_rows: int = MOST_ROWS):
         self.half, self.slack = max(1, sample.shape[1] // 2), slack
         k = min(MOST_CENTROIDS, max(1, round(math.sqrt(total / cell_rows))), len(sample))
         self.k = k
-        self.books = [_kmeans(sample[:, : self.half], k), _kmeans(sample[:, self.half :], k) if sample.shape[1] > 1 else np.zeros((1, 0), np.float32)]
+        self.books = [_kmeans(sample[:, : self.half], k), _kmeans(sample[:, self.half :], k) if sample.shape[1] > 1 else np.zeros((k, 0), np.float32)]
+        # cells too small to hold a vector's neighbours are closed: who is nearest to one goes on to the next
+        d1, d2 = self.distances(sample)
+        own = np.bincount(d1.argmin(1) * k + d2.argmin(1), minlength=k * k).reshape(k, k) * (total / len(sample))
+        self.open = own >= min(cell_rows * LEAST_SHARE, own.max())
         held = np.zeros(k * k)
-        for i, d in enumerate(zip(*self.distances(sample))):
-            held[[p * k + q for p, q in traverse(*d, slack)]] += total / len(sample)
-        self.splits = np.ceil(held / MOST_ROWS).clip(1).astype(int)
+        for a, b in zip(d1, d2):
+            held[[p * k + q for p, q in traverse(a, b, slack, self.open)]] += total / len(sample)
+        self.splits = np.ceil(held / most_rows).clip(1).astype(int)
 
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -134,7 +146,7 @@ def _posted(rows: DataFrame, index: MultiIndex) -> DataFrame:
             take, cell, split, home = [], [], [], []
             names = b.column(0).to_pylist()
             for r in range(b.num_rows):
-                for n, (p, q) in enumerate(traverse(d1[r], d2[r], ix.slack)):
+                for n, (p, q) in enumerate(traverse(d1[r], d2[r], ix.slack, ix.open)):
                     c = p * ix.k + q
                     m = int(ix.splits[c])
                     mine = _stable(names[r]) % m if m > 1 else 0
@@ -195,7 +207,7 @@ def _ranked(k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 10, dim: int | None = None, cell_rows: int = CELL_ROWS, slack: float = SLACK) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, dim: int | None = None, cell_rows: int = CELL_ROWS, slack: float = SLACK, most_rows: int = MOST_ROWS) -> DataFrame:
     """(node_id, neighbour, cosine): the ``k`` most similar other vectors of every node, approximately.
 
     Of several usable rows of a node the one with the greatest created_at counts (see ``usable``). Codebooks of both
@@ -225,7 +237,7 @@ def neighbours(vectors: DataFrame, k: int = 10, dim: int | None = None, cell_row
         some = _packed(raw).select("code").limit(TRAIN_ROWS).collect()
     if not some:
         return spark.createDataFrame([], "node_id string, neighbour string, cosine double")
-    index = MultiIndex(_unpack(pa.array(sorted(r[0] for r in some), pa.binary())), total, cell_rows, slack)
+    index = MultiIndex(_unpack(pa.array(sorted(r[0] for r in some), pa.binary())), total, cell_rows, slack, most_rows)
 
     crowded = not packed.groupBy(F.xxhash64("code").alias("h")).count().filter(F.col("count") > k + 1).isEmpty()
     extra = None
