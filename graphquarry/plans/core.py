@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions import text as X
+from ..operators import context as C
 from ..operators import evaluate as E
+from ..operators import extract as N
 from ..operators import frameworks as W
 from ..operators import mutate as M
 from ..operators import resolve as R
@@ -14,6 +16,7 @@ from ..operators import search as S
 from ..operators import traverse as T
 from ..operators import vectors as V
 from ..operators.graph import Graph, invalid_kinds
+from ..streaming import feed
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -556,3 +559,90 @@ def token_estimates(spark, d):
  ELSE regexp_matches(t, 'add|create|implement|build|enable|allow|new feature|support for|ability to|want to|should be able|need to add|swap|edit|modify') END AS is_feature FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)""")
 def feature_requests(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", X.feature_request("text").alias("is_feature"))
+
+
+# --- further functions, extraction, context -----------------------------------------------------------------------
+
+_SHOWN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.DISPLAY.items())
+
+
+@q(_WITH + f"SELECT DISTINCT language, CASE language {_SHOWN} ELSE language END AS shown, language NOT IN ('unknown') AS supported FROM f WHERE language IS NOT NULL")
+def language_display(spark, d):
+    f = g(spark, d).files.filter("language IS NOT NULL")
+    return f.select("language", L.display_name("language").alias("shown"), L.language_supported("language").alias("supported")).distinct()
+
+
+@q(_WITH + f"SELECT id, name FROM n WHERE name IN ({_JS}) OR starts_with(name, 'console.') OR starts_with(name, 'Math.') OR starts_with(name, 'JSON.') OR (language = 'python' AND name IN ({_PY}))")
+def builtin_names(spark, d):
+    return g(spark, d).nodes.filter(R.builtin_or_external("name", "language")).select("id", "name")
+
+
+_JSL = "('typescript', 'javascript', 'tsx', 'jsx')"
+_EXT = f"""NOT starts_with(source, '.') AND ((language IN {_JSL} AND (source IN ({", ".join(f"'{x}'" for x in R.NODE_MODULES)}) OR NOT (starts_with(source, '@/') OR starts_with(source, '~/') OR starts_with(source, 'src/'))))
+ OR (language = 'python' AND split_part(source, '.', 1) IN ({", ".join(f"'{x}'" for x in R.PYTHON_STDLIB)})) OR (language = 'go' AND NOT contains(source, '/internal/')))"""
+
+
+@q(_WITH + f", s AS (SELECT id, language, regexp_replace(file_path, '^[^/]*/', '') AS source FROM n WHERE file_path IS NOT NULL AND language IS NOT NULL) SELECT id, {_EXT} AS is_external FROM s")
+def external_imports(spark, d):
+    """Whether a node's path within its repository, read as an import, would lead out of it."""
+    n = g(spark, d).nodes.filter("file_path IS NOT NULL AND language IS NOT NULL").select("id", "language", F.regexp_replace("file_path", "^[^/]*/", "").alias("source"))
+    return n.select("id", R.external_import().alias("is_external"))
+
+
+_ENDS = ", ".join(f"('{lang}', {k}, '{e}')" for lang, es in R.IMPORT_ENDINGS.items() for k, e in enumerate([*es, ""]))
+
+
+@q(_WITH + rf""", t AS (SELECT DISTINCT regexp_replace(replace(path, chr(92), '/'), '^(\./)+', '') AS path, language FROM f), i AS (SELECT DISTINCT path, language, './' || regexp_extract(path, '([^/]*)\.[^./]*$', 1) AS source FROM t WHERE regexp_matches(path, '\.[^./]*$')),
+c AS (SELECT i.path, i.source, regexp_extract(i.path, '^(.*)/[^/]*$', 1) || '/' || substr(i.source, 3) || e.ending AS target_path, e.k FROM i JOIN (VALUES {_ENDS}) e(lang, k, ending) ON e.lang = i.language WHERE contains(i.path, '/'))
+SELECT path, source, min_by(target_path, k) AS target_path FROM c WHERE target_path IN (SELECT path FROM t) GROUP BY 1, 2""")
+def import_paths(spark, d):
+    """The file that an import of each file's own name, without its ending, from its own folder means."""
+    t = g(spark, d).files.select(L.tidy_path("path").alias("path"), "language").distinct()
+    i = t.filter(F.col("path").rlike(r"\.[^./]*$") & F.contains("path", F.lit("/")) & F.col("language").isin(list(R.IMPORT_ENDINGS)))
+    return R.resolve_import_paths(i.withColumn("source", F.concat(F.lit("./"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1))), t.select("path"))
+
+
+@q("SELECT window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, value FROM events) GROUP BY 1, 2")
+def event_windows(spark, d):
+    w = feed.windowed_counts(table(spark, d, "events"))
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@q("WITH c AS (SELECT * FROM vectors WHERE model = 'code-embed-96' AND node_id IS NOT NULL), k AS (SELECT DISTINCT node_id FROM c) SELECT node_id, model, created_at FROM vectors WHERE node_id NOT IN (SELECT node_id FROM k) UNION ALL SELECT node_id, 'stored', max(created_at) FROM c GROUP BY node_id")
+def store_vectors(spark, d):
+    v = table(spark, d, "vectors")
+    new = v.filter("model = 'code-embed-96' AND node_id IS NOT NULL").groupBy("node_id").agg(F.max("created_at").alias("created_at"))
+    new = new.select("node_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit("stored").alias("model"), "created_at")
+    return V.store_vectors(v, new).select("node_id", "model", "created_at")
+
+
+@q(_WITH + r", t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\{%-?\s*(?:render|include)\s+[''\x22]([^''\x22]+)[''\x22]', 1)) AS name FROM documents) SELECT doc_id::VARCHAR AS path, name FROM t")
+def liquid_snippets(spark, d):
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit("liquid").alias("language"))
+    nodes = N.tables(N.extract(docs))[0]
+    return nodes.filter("kind = 'component'").select(F.col("file_path").alias("path"), "name").distinct()
+
+
+@q()
+def extracted_symbols(spark, d):
+    """Symbols in the documents that are sources, read as TypeScript."""
+    docs = table(spark, d, "documents").filter("doc_type = 'source' AND text IS NOT NULL").select(F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.col("text").alias("content"))
+    return N.tables(N.extract(docs))[0].select("id", "kind", "name", "file_path", "start_line", "end_line")
+
+
+@q()
+def frameworks_detected(spark, d):
+    return W.detect(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
+
+
+@q()
+def context_nodes(spark, d):
+    """What a task about the route cache is about."""
+    return C.relevant(g(spark, d), "route cache", search_limit=5, depth=2, max_nodes=40, min_score=0.0)[0].select("id", "is_root", "depth", "rank")
+
+
+@q()
+def context_files(spark, d):
+    graph = g(spark, d)
+    kept = C.relevant(graph, "route cache", search_limit=5, depth=2, max_nodes=40, min_score=0.0)[0]
+    return C.related_files(kept.join(graph.nodes, "id"))

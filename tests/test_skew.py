@@ -39,3 +39,21 @@ def test_heavy_keys(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert heavy_keys(df).count() == 0 and per_target_kind(df).count() == 0
+
+
+def test_store(spark, tmp_path):
+    from graphquarry.sources.store import TABLES, Store
+
+    s = Store(spark, str(tmp_path / "store"))
+    assert s.version() == 0 and s.read("nodes").count() == 0
+    s.initialize(5).initialize(6)
+    assert [tuple(r) for r in s.history().collect()] == [(1, 5, "initial schema")]
+    e = spark.createDataFrame([(1, "a", "b", "calls", None, 1, 2), (2, "a", "c", "contains", (0.5, "x"), None, None)], TABLES["edges"])
+    s.append("edges", e)
+    s.append("edges", e)
+    assert s.read("edges").count() == 4 and s.read("edges").columns == TABLES["edges"].names
+    s.replace("edges", s.read("edges").filter("kind = 'calls'"))
+    s.optimize("edges")
+    assert [r["target"] for r in s.read("edges").collect()] == ["b", "b"]
+    s.clear()
+    assert s.read("edges").count() == 0
