@@ -42,8 +42,12 @@ _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}­]+")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])((?:[\p{L}$@!]\.){2,}[\p{L}]|[\p{L}$@!](?:[ _\-*]\p{L}){2,})(?![\p{L}\p{N}])")
 _TOKEN = regex.compile(r"""(?:[\p{L}$@][\p{L}\p{N}$@*!'’]*|\p{N}+\p{L}[\p{L}\p{N}$@*!]*)|["“”«»`]|[.!?;:]|\n""")
 _LEET = str.maketrans("013457$@!", "oieastsai")
+#: Spellings whose plain form a worker keeps.
+KNOWN_WORDS = 200_000
+_KNOWN: dict[str, str] = {}
 _CODE = regex.compile(r"_|\p{Ll}\p{Lu}|\(")
 _RUN = regex.compile(r"(.)\1+")
+_QUOTES, _STOPS = frozenset("\"“”«»`"), frozenset(".!?;:\n")
 #: Words in quotes up to this length are cited, not said.
 CITED_WORDS = 4
 
@@ -75,21 +79,22 @@ def tokens(text: str | None) -> list[str]:
     quoted_at = None
     for m in _TOKEN.finditer(t):
         w = m[0]
-        if w in "\"“”«»`":
+        if w in _QUOTES:
             if quoted_at is not None and 0 < len(out) - quoted_at <= CITED_WORDS and not any(x in "|" for x in out[quoted_at:]):
                 out[quoted_at:] = ["~" + x for x in out[quoted_at:]]
                 quoted_at = None
             else:
                 quoted_at = len(out)
             continue
-        if w == "\n" or w in ".!?;:":
+        if w in _STOPS:
             if out and out[-1] != "|":
                 out.append("|")
             continue
-        if _CODE.search(w):
-            out.append("#id")
-            continue
-        p = _plain(w)
+        p = _KNOWN.get(w)
+        if p is None:
+            if len(_KNOWN) >= KNOWN_WORDS:
+                _KNOWN.clear()
+            p = _KNOWN[w] = "#id" if _CODE.search(w) else _plain(w)
         if p:
             out.append(p)
     return out
