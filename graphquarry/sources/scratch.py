@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,13 +20,41 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_CLEARED_AT_EXIT: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's own folder in the scratch space; it goes when Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _CLEARED_AT_EXIT:
+        _CLEARED_AT_EXIT.add(app)
+        atexit.register(_clear_quietly, spark)
+    return f"{scratch_dir(spark)}/graphquarry/{app}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written; results that still read it are lost."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("gq_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_quietly(spark: SparkSession) -> None:
+    try:
+        clear_scratch(spark)
+    except Exception:
+        pass  # the session has ended before
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back.
 
     The result has no lineage, carries file statistics for the planner, and survives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/graphquarry/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -34,7 +63,7 @@ def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str = "bucketed
     """Write ``df`` bucketed by ``keys`` to the shared scratch folder; joins on them then need no exchange of it."""
     spark = df.sparkSession
     table = f"gq_{name}_{uuid.uuid4().hex}"
-    path = f"{scratch_dir(spark)}/graphquarry/{table}"
+    path = f"{_folder(spark)}/{table}"
     df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
 

@@ -57,3 +57,21 @@ def test_store(spark, tmp_path):
     assert [r["target"] for r in s.read("edges").collect()] == ["b", "b"]
     s.clear()
     assert s.read("edges").count() == 0
+
+
+def test_scratch(spark):
+    from graphquarry.sources.scratch import clear_scratch, materialize, scratch_dir
+
+    df = materialize(spark.range(10))
+    assert df.count() == 10 and scratch_dir(spark) == scratch_dir(spark)
+    clear_scratch(spark)
+    assert spark.range(3).count() == 3 and materialize(spark.range(4)).count() == 4
+
+
+def test_entry_contract(spark, sf):
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
+    df = e.entry(spark)
+    assert df.columns == ["seed", "kind", "count"] and df.count() > 0
+    assert {f"p{n}_found" if n != 7 else "p7_ids" for n in (2, 5)} <= set(e.queries())
