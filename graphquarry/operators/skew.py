@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from math import ceil, log
 
 from pyspark.sql import DataFrame
@@ -65,4 +66,6 @@ def heavy_keys(edges: DataFrame, share: float = 0.01, fan_in: int = 16) -> DataF
     counts = tree_aggregate(rows, ["target", "kind"], {"n": ("count", None)}, fan_in)
     total = edges.agg(F.count(F.lit(1)).alias("total"))
     # the total is one row
-    return counts.join(F.broadcast(total), F.col("n") >= F.col("total") * F.lit(share)).select("target", "kind", "n")
+    # whole numbers on both sides: a product with 0.01 could fall to either side of an exact hundredth
+    part, whole = Fraction(share).limit_denominator(1_000_000).as_integer_ratio()
+    return counts.join(F.broadcast(total), F.col("n") * whole >= F.col("total") * part).select("target", "kind", "n")

@@ -75,3 +75,10 @@ def test_entry_contract(spark, sf):
     df = e.entry(spark)
     assert df.columns == ["seed", "kind", "count"] and df.count() > 0
     assert {f"p{n}_found" if n != 7 else "p7_ids" for n in (2, 5)} <= set(e.queries())
+
+
+def test_exact_share(spark):
+    for total in (100, 700, 2300, 5700):
+        rows = [(k, "s", "hot" if k < total // 100 else f"t{k}", "calls", None, 0) for k in range(total)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        assert ("hot", "calls") in {(r[0], r[1]) for r in heavy_keys(df).collect()}
