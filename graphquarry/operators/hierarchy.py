@@ -27,8 +27,8 @@ def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1
     """(node_id, root_id, depth[, path]) of every id that occurs in ``links(child, parent)``.
 
     Level-wise frontier joins start from the roots; each level is one join of the frontier with the links, which are
-    bucketed by parent once, so that only the frontier moves. When a frontier holds less than ``tail_share`` of the
-    links that are still unreached (long thin chains, or nothing but circles are left), the unreached links double
+    bucketed by parent once, so that only the frontier moves. When a frontier has shrunk to less than ``tail_share`` of
+    the links that are still unreached (long thin chains, or nothing but circles are left), the unreached links double
     their pointers instead, which needs as many rounds as the logarithm of the depth. What then is still unreached
     lies on a circle or beneath one: depth -1, root_id the smallest id on that circle and a null path.
 
@@ -61,9 +61,9 @@ def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1
             *([F.concat(f["path"], F.array(table["child"])).alias("path")] if with_path else []),
         )
         levels.append(materialize(step, "level"))
-        size = levels[-1].count()
+        size, before = levels[-1].count(), size
         reached += size
-        if size < tail_share * (n_links - reached):
+        if size < before and size < tail_share * (n_links - reached):
             break
     done = reduce(DataFrame.unionByName, levels)
     if reached >= n_links:
