@@ -23,8 +23,8 @@ def parent_links(edges: DataFrame, kind: str = "contains") -> DataFrame:
     )
 
 
-def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1, hot_rows: int = 100_000) -> DataFrame:
-    """(node_id, root_id, depth[, path]) of every id that occurs in ``links(child, parent)``.
+def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1, hot_rows: int = 100_000, with_above: bool | None = None) -> DataFrame:
+    """(node_id, root_id, depth[, path][, above]) of every id that occurs in ``links(child, parent)``.
 
     Level-wise frontier joins start from the roots; each level is one join of the frontier with the links, which are
     bucketed by parent once, so that only the frontier moves. When a frontier has shrunk to less than ``tail_share`` of
@@ -34,8 +34,11 @@ def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1
 
     A parent that holds more than ``hot_rows`` links and more than a share of them is salted over all buckets.
     A node that is its own parent is a circle of one. Empty links give an empty result. ``path`` is the array of ids
-    from the root to the node itself.
+    from the root to the node itself. ``above`` (with the path, unless ``with_above`` is false) is null where there is a
+    path; at circles it holds every id above the node once, nearest last, and then the node: the whole circle, ending
+    with the id on it that the node hangs from (or is), then the way down.
     """
+    with_above = with_path if with_above is None else with_above
     width = shuffle_width(links.sparkSession)
     table = bucketed(links.select("child", "parent"), ["parent"], width, "links")
     n_links = table.count()
@@ -66,6 +69,8 @@ def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1
         if size < before and size < tail_share * (n_links - reached):
             break
     done = reduce(DataFrame.unionByName, levels)
+    if with_above:
+        cols, done = [*cols, "above"], done.withColumn("above", F.lit(None).cast("array<string>"))
     if reached >= n_links:
         return done.select(cols)
     # a link is unreached when no frontier that was expanded held its parent; the last level was not expanded
@@ -75,10 +80,12 @@ def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1
     chained, circular = _double(rest, with_path)
     near = chained.join(done.select(F.col("node_id").alias("anc"), "root_id", F.col("depth").alias("_d"), *([F.col("path").alias("_p")] if with_path else [])), "anc")
     tail = near.select(F.col("child").alias("node_id"), "root_id", (F.col("_d") + F.col("hops")).cast("int").alias("depth"), *([F.concat("_p", "seg").alias("path")] if with_path else []))
-    out = done.unionByName(tail)
+    out = done.unionByName(tail, allowMissingColumns=True)
     if circular is not None:
         rings = _circles(circular, rest)
-        out = out.unionByName(rings.select("node_id", "root_id", F.lit(-1).alias("depth"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else [])))
+        if with_above:
+            rings = _above(materialize(rings, "rings"), rest)
+        out = out.unionByName(rings.select("node_id", "root_id", F.lit(-1).alias("depth"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else []), *(["above"] if with_above else [])))
     return out.select(cols)
 
 
@@ -140,14 +147,38 @@ def _circles(far: DataFrame, rest: DataFrame) -> DataFrame:
     return far.join(ring.select(F.col("child").alias("anc"), "low"), "anc").select(F.col("child").alias("node_id"), F.col("low").alias("root_id"))
 
 
+def _above(rings: DataFrame, rest: DataFrame) -> DataFrame:
+    """``rings(node_id, root_id)`` of ``_circles`` with the ids above each node in order, the node itself last.
+
+    Each circle is cut above its smallest id, which leaves trees whose paths doubling finds. The parent of that id
+    closes the circle: its path is the circle, and a path's share of it ends at the id the node hangs from.
+    """
+    ups = rings.join(rest.withColumnRenamed("child", "node_id"), "node_id")
+    cut = ups.filter(F.col("node_id") == F.col("root_id")).select("root_id", F.col("parent").alias("node_id"))
+    down, _ = _double(ups.filter(F.col("node_id") != F.col("root_id")).select(F.col("node_id").alias("child"), "parent"), True)
+    down = down.select(F.col("child").alias("node_id"), F.col("anc").alias("root_id"), F.concat(F.array("anc"), "seg").alias("_p"))
+    tops = rings.filter(F.col("node_id") == F.col("root_id")).withColumn("_p", F.array("node_id"))
+    paths = materialize(down.unionByName(tops), "cut")
+    circles = paths.join(cut, ["root_id", "node_id"]).select("root_id", F.col("_p").alias("_c"))
+    # a path goes along the circle from its top, so what it shares with it is its beginning
+    n = F.size(F.array_intersect("_p", "_c"))
+    whole = F.concat(F.slice("_c", n + 1, F.size("_c") - n), "_p")
+    return paths.join(circles, "root_id").select("node_id", "root_id", whole.alias("above"))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor_id, node_id, distance) for every node beneath every node, from the paths of ``hierarchy``."""
-    return tree.filter(F.col("depth") > 0).select(
-        F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("_at", "ancestor_id"), "node_id", "depth"
-    ).select("ancestor_id", "node_id", (F.col("depth") - F.col("_at")).alias("distance"))
+    """(ancestor_id, node_id, distance) for every node beneath every node, from the paths of ``hierarchy``.
+
+    An id on a circle is beneath every other id on it, and what hangs from a circle is beneath all of its ids; the
+    distance is that of the shortest way down. No id counts as beneath itself.
+    """
+    line = F.coalesce("path", "above") if "above" in tree.columns else F.col("path")
+    return tree.select(line.alias("_line"), "node_id").select(
+        F.posexplode(F.slice("_line", 1, F.size("_line") - 1)).alias("_at", "ancestor_id"), "node_id", F.size("_line").alias("_n")
+    ).select("ancestor_id", "node_id", (F.col("_n") - 1 - F.col("_at")).alias("distance"))
 
 
 def subtree_sizes(tree: DataFrame) -> DataFrame:
-    """(node_id, n_descendants): the number of nodes beneath each node; ids at circles count none."""
+    """(node_id, n_descendants): the number of nodes beneath each node, at circles as in ``descendants``."""
     below = descendants(tree).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n"))
     return tree.select("node_id").join(below, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("n_descendants"))

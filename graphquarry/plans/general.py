@@ -23,8 +23,8 @@ c AS (SELECT w.id, min(w.at) AS root FROM w JOIN oncirc o ON o.id = w.at GROUP B
 """
 
 
-def _tree(spark, d, with_path=False):
-    return hierarchy(parent_links(table(spark, d, "edges")), with_path)
+def _tree(spark, d, with_path=False, with_above=None):
+    return hierarchy(parent_links(table(spark, d, "edges")), with_path, with_above=with_above)
 
 
 def p2_found(spark, d):
@@ -33,15 +33,16 @@ def p2_found(spark, d):
 
 def p2_paths(spark, d):
     """Each node's path, from the root down; null for ids on a circle or beneath one."""
-    return _tree(spark, d, True).select("node_id", "root_id", "depth", F.array_join("path", "/").alias("path"))
+    return _tree(spark, d, True, False).select("node_id", "root_id", "depth", F.array_join("path", "/").alias("path"))
 
 
 def p2_descendants(spark, d):
-    """Every pair of an ancestor and a node beneath it."""
+    """Every pair of an ancestor and a node beneath it, circles included; the SQL knows only those that have a root."""
     return descendants(_tree(spark, d, True))
 
 
 def p2_subtrees(spark, d):
+    """The number of nodes beneath each node; the SQL gives 0 at circles."""
     return subtree_sizes(_tree(spark, d, True))
 
 

@@ -70,3 +70,25 @@ def test_descendants(spark):
     tree = hierarchy(links(spark, {"b": "a", "c": "b", "d": "b"}), with_path=True)
     assert {tuple(r) for r in descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
     assert {tuple(r) for r in subtree_sizes(tree).collect()} == {("a", 3), ("b", 2), ("c", 0), ("d", 0)}
+
+
+def beneath(parent):
+    out = {}
+    for x in {*parent, *parent.values()}:
+        y, n = x, 0
+        while y in parent and (parent[y], x) not in out and parent[y] != x:
+            y, n = parent[y], n + 1
+            out[y, x] = n
+    return out
+
+
+@pytest.mark.parametrize("name", ["mixed", "rings", "pair"])
+def test_descendants_at_circles(spark, name):
+    p = shape(name)
+    if name == "mixed":
+        p |= {"X": "r2", "Y": "X", "Z": "Y", "Z2": "Y", "under2": "under"}
+    tree, want = hierarchy(links(spark, p), with_path=True), beneath(p)
+    rows = [tuple(r) for r in descendants(tree).collect()]
+    assert len(rows) == len(want) and {(a, b): n for a, b, n in rows} == want
+    sizes = {x: sum(a == x for a, _ in want) for x in {*p, *p.values()}}
+    assert {r[0]: r[1] for r in subtree_sizes(tree).collect()} == sizes
