@@ -83,8 +83,8 @@ def normalized_path(path) -> Column:
 
 
 def token_estimate(text) -> Column:
-    """Words times 1.3, rounded up; 0 for a blank text."""
-    t = F.regexp_replace(as_col(text), r"^\s+|\s+$", "")
+    """Words times 1.3, rounded up; 0 for a blank text, also one of no-break or other Unicode blanks."""
+    t = F.regexp_replace(as_col(text), r"^[\s\p{Zs}]+|[\s\p{Zs}]+$", "")
     return F.when(t == "", 0).otherwise(F.ceil(F.size(F.split(t, r"\s+")) * F.lit(1.3))).cast("int")
 
 

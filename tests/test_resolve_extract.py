@@ -1,4 +1,6 @@
+import math
 import os
+import re
 
 from graphquarry.api import CodeIndex
 from graphquarry.functions import language as L
@@ -184,3 +186,13 @@ def test_windowed_counts(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet")
     got = feed.windowed_counts(ev)
     assert got.agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_token_estimates_of_all_documents(spark, sf):
+    from graphquarry.plans.core import token_estimates
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    words = lambda t: len(re.split(r"[ \t\n\v\f\r]+", t.strip())) if t.strip() else 0
+    want = {r["doc_id"]: None if r["text"] is None else math.ceil(words(r["text"]) * 1.3) for r in docs}
+    assert {r["doc_id"]: r["tokens"] for r in token_estimates(spark, sf).collect()} == want
+    assert one(spark, X.token_estimate("p"), p="\u00a0") == 0
