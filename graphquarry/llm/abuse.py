@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -40,16 +40,19 @@ EXPECTED = 0.025
 
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}­]+")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])((?:[\p{L}$@!]\.){2,}[\p{L}]|[\p{L}$@!](?:[ _\-*]\p{L}){2,})(?![\p{L}\p{N}])")
-_TOKEN = regex.compile(r"""(?:[\p{L}$@][\p{L}\p{N}$@*!'’]*|\p{N}+\p{L}[\p{L}\p{N}$@*!]*)|["“”«»`]|[.!?;:]|\n""")
+_TOKEN = regex.compile(r"""(?:[\p{L}$@][\p{L}\p{N}$@*!'’]*|\p{N}+\p{L}[\p{L}\p{N}$@*!]*)|["“”„«»`]|[.!?;:]|\n""")
 _LEET = str.maketrans("013457$@!", "oieastsai")
 #: Spellings whose plain form a worker keeps.
 KNOWN_WORDS = 200_000
 _KNOWN: dict[str, str] = {}
 _CODE = regex.compile(r"_|\p{Ll}\p{Lu}|\(")
 _RUN = regex.compile(r"(.)\1+")
-_QUOTES, _STOPS = frozenset("\"“”«»`"), frozenset(".!?;:\n")
-#: Words in quotes up to this length are cited, not said.
-CITED_WORDS = 4
+_CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
+#: Opening quotes and what closes them.
+_QUOTES, _STOPS = {'"': '"', "`": "`", "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«"}, frozenset(".!?;:\n")
+#: Words in quotes up to this length are cited, not said, if one of so many words before or after tells of a filter, list or rule.
+CITED_WORDS, CITED_NEAR = 4, 12
+_CITING = regex.compile(r"(?:block|ban|filter|list|blacklist|denylist|blocklist|stoplist|wordlist|rule|guideline|polic|moderat|censor|profan|forbid|prohibit|fixture|liste|regel|gesperrt|verbot|regla|filtr|regle|interdit|prohibid)\p{L}*")
 
 
 def _plain(token: str) -> str:
@@ -60,13 +63,14 @@ def _plain(token: str) -> str:
     return _RUN.sub(r"\1", t)
 
 
-def tokens(text: str | None) -> list[str]:
+def tokens(text: str | None, named: Callable[[str], list[str]] | None = None) -> list[str]:
     """Tokens of a text in a spelling that undoes disguises; null and empty texts have none.
 
     Accents, invisible characters and letters that look like Latin ones are mapped to plain letters, letters set apart
     by dots or blanks join, digits and signs that stand for letters within a word become letters, and repeated letters
-    count once. Words with masked letters keep their asterisks. Names of code are one token ``#id``; words within short
-    quotes are cited and begin with ``~``.
+    count once. Words with masked letters keep their asterisks. Names of code are one token ``#id``, unless
+    ``named`` gives words for one; words within short quotes near words about a filter, list or rule are cited and begin
+    with ``~``. Quotes are paired within a line.
     """
     if not text:
         return []
@@ -76,17 +80,20 @@ def tokens(text: str | None) -> list[str]:
         t = t.translate(LOOKALIKE)
     t = _SPACED.sub(lambda m: regex.sub(r"[ ._\-*]", "", m[0]), t)
     out: list[str] = []
-    quoted_at = None
+    quoted_at, closing, quoted = 0, "", []
     for m in _TOKEN.finditer(t):
         w = m[0]
         if w in _QUOTES:
-            if quoted_at is not None and 0 < len(out) - quoted_at <= CITED_WORDS and not any(x in "|" for x in out[quoted_at:]):
-                out[quoted_at:] = ["~" + x for x in out[quoted_at:]]
-                quoted_at = None
-            else:
-                quoted_at = len(out)
+            if not closing:
+                quoted_at, closing = len(out), _QUOTES[w]
+            elif w in closing:
+                if 0 < len(out) - quoted_at <= CITED_WORDS and "|" not in out[quoted_at:]:
+                    quoted.append((quoted_at, len(out)))
+                closing = ""
             continue
         if w in _STOPS:
+            if w == "\n":
+                closing = ""
             if out and out[-1] != "|":
                 out.append("|")
             continue
@@ -95,8 +102,13 @@ def tokens(text: str | None) -> list[str]:
             if len(_KNOWN) >= KNOWN_WORDS:
                 _KNOWN.clear()
             p = _KNOWN[w] = "#id" if _CODE.search(w) else _plain(w)
-        if p:
+        if p == "#id" and named is not None and (words := named(w)):
+            out += words
+        elif p:
             out.append(p)
+    around = [x for x in quoted if any(_CITING.fullmatch(y) for y in out[max(0, x[0] - CITED_NEAR) : x[0]] + out[x[1] : x[1] + CITED_NEAR])]
+    for a, b in around:
+        out[a:b] = ["~" + x for x in out[a:b]]
     return out
 
 
@@ -129,6 +141,7 @@ class Model:
     def __init__(self, weights: dict[str, float], other: float, lam: float):
         self.weights, self.other, self.lam = weights, other, lam
         self.masked: dict[str, float] = {}
+        self._named: dict[str, list[str]] = {}
         self._shape: dict[tuple[int, str], list[tuple[str, float]]] | None = None
 
     def score(self, token: str) -> float:
@@ -139,6 +152,17 @@ class Model:
             s = self._unmask(token) if "*" in token else self.other
         return s
 
+    def named(self, name: str) -> list[str]:
+        """The words that mixed letter case hides: the whole in small letters if known, or parts that all tell of abuse."""
+        got = self._named.get(name)
+        if got is None:
+            whole, parts = _plain(name), [_plain(x) for x in _CAMEL.split(name)]
+            got = [whole] if whole in self.weights else parts if all(self.weights.get(x, self.other) > 0 for x in parts) else []
+            if len(self._named) >= KNOWN_WORDS:
+                self._named.clear()
+            self._named[name] = got
+        return got
+
     def _unmask(self, token: str) -> float:
         """The highest score of a known word that the masked one may stand for."""
         if token not in self.masked:
@@ -159,7 +183,7 @@ class Model:
 
     def passages(self, text: str | None) -> list[tuple[float, str]]:
         """(expected number by chance, passage) of the positive segments, the most significant first."""
-        ts = tokens(text)
+        ts = tokens(text, self.named)
         out = []
         n = min(max(len(ts), 1), SPAN)
         for a, b, s in segments([self.score(t) for t in ts]):

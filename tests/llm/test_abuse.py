@@ -67,3 +67,13 @@ def test_flagged_and_rates(spark):
     assert {(r["source"], r["docs"], r["flagged"]) for r in abuse.rates(df, labels).collect()} == {("forum/x", 3, 2), (None, 1, 0), ("", 1, 0)}
     assert abuse.flagged(df.filter("false"), labels).count() == 0
     assert sorted(r["doc_id"] for r in abuse.flagged(df, labels.filter("false")).collect()) == [1, 5]
+
+
+@pytest.mark.parametrize("text", ["yOu aRe An iDiOt", "StUpId wOrThLeSs mOrOn", "fuckYou", '"fuck you"', "`fuck you`", 'You are a "worthless moron".', "„fuck you“", 'She said "the oldest worker is dropped first here" and then you "worthless moron" too'])
+def test_case_and_quotes_hide_nothing(model, text):
+    assert model.measure(text)[1] >= 1
+
+
+@pytest.mark.parametrize("text", ["foldPage killChild nakedPtr dieRoll", 'The filter blocks "fuck you".', 'It drops "the oldest worker of them all" and the list has "fuck you" as a banned word.'])
+def test_names_and_cited_words_pass(model, text):
+    assert model.measure(text)[1] == 0
