@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.extract import block_comments, comment_start
 from ..sources.tables import current
 
 #: Words a description must have beyond marks, placeholders, directives and the function's own name.
@@ -208,7 +209,7 @@ _HEADER = regex.compile(
     regex.M,
 )
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "else", "new"}
-_COMMENT = regex.compile(r"(?:^[ \t]*(?:///?|#|--)(?!!)[^\n]*\n)+\Z|/\*(?:[^*]|\*(?!/))*\*/[ \t]*\n?\Z", regex.M)
+_LINE = regex.compile(r"[ \t]*(?:///?|#|--)(?!!)")
 
 
 def source_functions(text: str | None) -> list[tuple[str, str, str | None, int, int]]:
@@ -232,14 +233,14 @@ def source_functions(text: str | None) -> list[tuple[str, str, str | None, int,
                 args = ast.unparse(n.args)
                 out.append((n.name, f"def {n.name}({args})", ast.get_docstring(n, clean=False), n.lineno, n.end_lineno or n.lineno))
         return sorted(out, key=lambda x: (x[3], x[0]))
-    out = []
+    out, blocks = [], block_comments(text)
     for m in _HEADER.finditer(text):
         name = m["a"] or m["b"] or m["c"]
         if name in _NOT_NAMES or m[0].split()[0] in _NOT_NAMES:
             continue
         first = text.count("\n", 0, m.start()) + (m[0][:1] == "\n") + 1
-        before = _COMMENT.search(text[max(0, m.start() - 5000) : m.start()])
-        doc = before[0] if before else None
+        above = comment_start(text, m.start(), blocks, _LINE)
+        doc = None if above is None else text[above : m.start()]
         head = lines[first - 1].strip()
         last = _body_end(lines, first - 1)
         if doc is None and head.endswith(":"):

@@ -123,7 +123,32 @@ _FUNC = re.compile(
 _KEYWORDS = set("if for while switch catch return else new do try with match when unless until case in of not and or elif foreach using lock typeof sizeof function func fn fun def class import export from await yield throw delete super this self".split())
 _CALL = re.compile(r"(?<![\w$.])(?:[\w$]+(?:\.|::|->))*([A-Za-z_$][\w$]*)\s*\(")
 _IMPORT = re.compile(r"""^[ \t]*(?:import\s+(?:[^'"\n;]*?from\s+)?['"]([^'"]+)['"]|(?:const|let|var)\s+[^=\n]+=\s*require\(['"]([^'"]+)['"]\)|import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;|use\s+([\w:\\]+)|using\s+([\w.]+)\s*;|#include\s+[<"]([^>"]+)[>"]|require(?:_relative)?\s+['"]([^'"]+)['"]|import\s+(\w[\w.]*)\s*$)""", re.M)
-_COMMENT_ABOVE = re.compile(r"(?:(?:^[ \t]*(?:///?|\#|--)[^\n]*\n)+|^[ \t]*/\*(?:[^*]|\*(?!/))*\*/[ \t]*\n)\Z", re.M)
+_LINE_ABOVE = re.compile(r"[ \t]*(?:///?|\#|--)")
+_LEXED = re.compile(r"""(?P<block>/\*(?:[^*]|\*(?!/))*\*/)|//[^\n]*|^[ \t]*(?:\#|--)[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`""", re.M)
+
+
+def block_comments(text: str) -> dict[int, int]:
+    """End -> start of the block comments of a text, as seen from its beginning past strings and line comments."""
+    return {m.end(): m.start() for m in _LEXED.finditer(text) if m["block"]}
+
+
+def comment_start(text: str, at: int, blocks: dict[int, int], line) -> int | None:
+    """Where the comment that ends right before ``at`` begins, however long: a block, or lines matching ``line``."""
+    k = at
+    while k and text[k - 1] == "\n":
+        begin = text.rfind("\n", 0, k - 1) + 1
+        if not line.match(text, begin, k):
+            break
+        k = begin
+    end = at - (text[at - 1 : at] == "\n")
+    while end and text[end - 1] in " \t":
+        end -= 1
+    start = blocks.get(end)
+    if start is None and text.endswith("*/", 0, end):  # an odd quote before it
+        start = text.rfind("/*", text.rfind("*/", 0, end - 2) + 1, end - 2)
+        start = None if start < 0 else start
+    found = [x for x in (start, k if k < at else None) if x is not None]
+    return min(found, default=None)
 
 
 def _blank(text: str) -> str:
@@ -166,6 +191,7 @@ def _scanned(o: _Out, text: str) -> None:
     stack: list[tuple[int, str, str, str]] = []  # end, id, name, kind
     spans = []
     seen: set[str] = set()
+    blocks = block_comments(text)
     for start, end, group, name, g in found:
         end = -end
         while stack and stack[-1][0] <= start:
@@ -181,8 +207,10 @@ def _scanned(o: _Out, text: str) -> None:
                 continue  # a bare head outside of a type is a call
         if make_id(kind, o.path, name, line(start)) in seen:
             continue
-        above = _COMMENT_ABOVE.search(text[max(0, start - 4000) : text.rfind("\n", 0, start) + 1])
-        doc = re.sub(r"(?m)^[ \t]*(?:/\*+|\*+/|\*|///?!?|#+|--)[ \t]?|\*+/[ \t]*$", "", above[0]).strip() if above else None
+        head = text.rfind("\n", 0, start) + 1
+        first = comment_start(text, head, blocks, _LINE_ABOVE)
+        above = None if first is None or text[text.rfind("\n", 0, first) + 1 : first].strip(" \t") else text[first:head]
+        doc = re.sub(r"(?m)^[ \t]*(?:/\*+|\*+/|\*|///?!?|#+|--)[ \t]?|\*+/[ \t]*$", "", above).strip() if above else None
         default = {"rust": "private", "csharp": "private", "php": "public", "swift": "internal", "kotlin": "public"}.get(lang)
         vis = next((x for x in mods if x in ("public", "private", "protected", "internal")), "public" if any(x.startswith("pub") for x in mods) else default)
         exported = "export" in mods or (lang == "go" and name[:1].isupper()) or any(x.startswith("pub") and x != "public" for x in mods) or (lang in ("java", "csharp") and "public" in mods)

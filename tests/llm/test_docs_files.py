@@ -50,6 +50,12 @@ def test_source_pairs(spark):
     assert (got[2, "sortRows"]["first_line"], got[2, "sortRows"]["last_line"]) == (2, 6)
 
 
+@pytest.mark.parametrize("doc", ["/*\n" + " * Keeps the order of rows.\n" * 300 + " */\n", "// Keeps the order of rows.\n" * 300, "/* see src/*.js */\n"])
+def test_long_comments_are_whole(doc):
+    text = 'const a = "src/*.js";\n' + doc + "function sortRows(a) {\n  return a;\n}\n"
+    assert [x[2] for x in dp.source_functions(text)] == [doc]
+
+
 # --- derivatives ---
 
 

@@ -196,3 +196,9 @@ def test_token_estimates_of_all_documents(spark, sf):
     want = {r["doc_id"]: None if r["text"] is None else math.ceil(words(r["text"]) * 1.3) for r in docs}
     assert {r["doc_id"]: r["tokens"] for r in token_estimates(spark, sf).collect()} == want
     assert one(spark, X.token_estimate("p"), p="\u00a0") == 0
+
+
+def test_long_comments_are_docstrings():
+    for doc in ("/**\n" + " * Keeps the order of rows.\n" * 300 + " */\n", "// Keeps the order of rows.\n" * 300):
+        o = EX.extract_text("a.js", 'const a = "src/*.js";\n' + doc + "function sortRows(a) {\n  return a;\n}\n")
+        assert [n[10].count("Keeps the order") for n in o.nodes if n[2] == "sortRows"] == [300]
