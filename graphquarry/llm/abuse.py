@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import regex
@@ -15,28 +16,25 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 from .abuse_seed import ABUSIVE, HARMLESS, LOOKALIKE
 
-#: Most tokens for which the counts of labelled texts are kept; those seen most often in abusive texts go first.
-MAX_TOKENS = 50_000
-#: Most labelled documents whose tokens are counted (taken by hash of doc_id).
-MAX_LABELLED = 200_000
-#: Texts a seed phrase counts as.
-SEED_WEIGHT = 12.0
-#: Pseudo-count of the corpus-wide prior in the abusive class.
-PRIOR = 200.0
-#: What an occurrence in the corpus counts in the other class, of which nearly all of it is part.
-CORPUS_WEIGHT = 0.05
+#: Labelled documents, and characters of them, that the model is fitted on at most (taken by hash of doc_id).
+MAX_LABELLED, MAX_LABELLED_CHARS = 20_000, 40_000_000
+#: Documents a seed entry counts as, and documents that each class' prior counts as at most.
+SEED_WEIGHT, SEED_DOCS, PRIOR_BAD, PRIOR_GOOD = 3.0, 10.0, 5.0, 300.0
 #: Standard errors taken off a log-odds, and what is taken off any score so that ordinary text drifts downwards.
 SHRINK, DRIFT = 0.5, 0.5
-#: Bounds of a token's score; tokens above the share COMMON of the corpus score COMMON_TOP at most.
-TOP, BOTTOM, COMMON, COMMON_TOP = 4.0, -3.0, 2e-4, 1.0
-#: Score of tokens never seen, and bounds of the decay of segment scores.
-OTHER, LAMBDA = -0.7, (0.6, 1.0)
-#: Constant of the extreme-value distribution of segment scores.
-KARLIN_K = 0.1
-#: Tokens of text in which a passage is judged at most: a long text must not hide what would stand out in a short one.
-SPAN = 500
-#: A document is flagged when its most significant passages have less than this expected number by chance.
-EXPECTED = 0.025
+#: Bounds of a token's score, the score of tokens never seen in a labelled abusive text, and of the end of a sentence.
+TOP, BOTTOM, OTHER, STOP = 5.0, -3.0, -0.8, -1.0
+#: Rounds in which passages of abusive texts are found and the scores fitted again; parts of the cross-validation.
+ROUNDS, FOLDS = 3, 4
+#: Score from which a passage stands for its abusive text while fitting; texts without one count whole, as so much of a text.
+PASSAGE, WHOLE = 4.0, 0.03
+#: What a text counts that one reviewer more calls abusive: a single one errs more often than several.
+SINGLE = 0.5
+#: Decay and constant of segment scores where a corpus has too few to estimate them (natural log-odds decay by one), and
+#: the width of the bins that scores are counted in.
+LAMBDA, KARLIN_K, LEAST_SEGMENTS, BIN = 1.0, 0.1, 50, 0.125
+#: Expected number by chance below which a passage is significant where there are too few labels to choose it.
+EXPECTED, LEAST_LABELS = 0.05, 20
 
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}­]+")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])((?:[\p{L}$@!]\.){2,}[\p{L}]|[\p{L}$@!](?:[ _\-*]\p{L}){2,})(?![\p{L}\p{N}])")
@@ -63,21 +61,20 @@ def _plain(token: str) -> str:
     return _RUN.sub(r"\1", t)
 
 
-def tokens(text: str | None, named: Callable[[str], list[str]] | None = None) -> list[str]:
+def tokens(text: str | None) -> list[str]:
     """Tokens of a text in a spelling that undoes disguises; null and empty texts have none.
 
     Accents, invisible characters and letters that look like Latin ones are mapped to plain letters, letters set apart
     by dots or blanks join, digits and signs that stand for letters within a word become letters, and repeated letters
-    count once. Words with masked letters keep their asterisks. Names of code are one token ``#id``, unless
-    ``named`` gives words for one; words within short quotes near words about a filter, list or rule are cited and begin
+    count once. Words with masked letters keep their asterisks. Words of mixed letter case, mostly names of code, keep it
+    and begin with ``#``; words within short quotes near words about a filter, list or rule are cited and begin
     with ``~``. Quotes are paired within a line.
     """
     if not text:
         return []
-    t = unicodedata.normalize("NFKD", text)
-    t = _UNSEEN.sub("", t)
+    t = text
     if not t.isascii():
-        t = t.translate(LOOKALIKE)
+        t = _UNSEEN.sub("", unicodedata.normalize("NFKD", t)).translate(LOOKALIKE)
     t = _SPACED.sub(lambda m: regex.sub(r"[ ._\-*]", "", m[0]), t)
     out: list[str] = []
     quoted_at, closing, quoted = 0, "", []
@@ -101,10 +98,8 @@ def tokens(text: str | None, named: Callable[[str], list[str]] | None = None) ->
         if p is None:
             if len(_KNOWN) >= KNOWN_WORDS:
                 _KNOWN.clear()
-            p = _KNOWN[w] = "#id" if _CODE.search(w) else _plain(w)
-        if p == "#id" and named is not None and (words := named(w)):
-            out += words
-        elif p:
+            p = _KNOWN[w] = "#" + w if _CODE.search(w) else _plain(w)
+        if p:
             out.append(p)
     around = [x for x in quoted if any(_CITING.fullmatch(y) for y in out[max(0, x[0] - CITED_NEAR) : x[0]] + out[x[1] : x[1] + CITED_NEAR])]
     for a, b in around:
@@ -135,194 +130,382 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, r - lo) for a, b, lo, r, _ in stack]
 
 
-class Model:
-    """Token scores and the extreme-value distribution of segment scores in ordinary text."""
+def expand(ts: list[str], known) -> list[str]:
+    """Tokens with names resolved: the whole in small letters if ``known`` scores it, its parts if all of them or the
+    pair that they make tell of abuse, else ``#id``."""
+    if not any(t[0] == "#" for t in ts):
+        return ts
+    out: list[str] = []
+    for t in ts:
+        if t[0] != "#":
+            out.append(t)
+            continue
+        whole = _plain(t[1:])
+        if whole in known:
+            out.append(whole)
+        else:
+            parts = [_plain(x) for x in _CAMEL.split(t[1:])]
+            out += parts if all(known.get(x, -1) > 0 for x in parts) or known.get(" ".join(parts), -1) > 0 else ["#id"]
+    return out
+
+
+def _units(ts: list[str]) -> Iterator[tuple[str, str | None]]:
+    """Each token with the pair that it makes with the one before it in its sentence."""
+    last = "|"
+    for t in ts:
+        yield t, None if t == "|" or last == "|" else f"{last} {t}"
+        last = t
+
+
+def _seed_counts(entries: list[str]) -> Counter:
+    """Words, and of entries of several words their pairs."""
+    out: Counter = Counter()
+    for e in entries:
+        ts = [t for t in tokens(e) if t != "|"]
+        out.update({ts[0]} if len(ts) == 1 else {f"{a} {b}" for a, b in zip(ts, ts[1:])})
+    return out
+
+
+_SEEDS = (_seed_counts(ABUSIVE), _seed_counts(HARMLESS))
+
 
-    def __init__(self, weights: dict[str, float], other: float, lam: float):
-        self.weights, self.other, self.lam = weights, other, lam
-        self.masked: dict[str, float] = {}
-        self._named: dict[str, list[str]] = {}
-        self._shape: dict[tuple[int, str], list[tuple[str, float]]] | None = None
+@dataclass
+class Labelled:
+    """A labelled text: its tokens, and the balance of its reviewers (positive for abusive)."""
+
+    tokens: list[str]
+    votes: int
+
+
+@dataclass
+class Model:
+    """Scores of tokens and pairs, and the extreme-value distribution of segment scores in the corpus."""
+
+    weights: dict[str, float]
+    lam: float = LAMBDA
+    k: float = KARLIN_K
+    expected: float = EXPECTED
+    heldout: dict[str, float] = field(default_factory=dict)
+    #: (best score, tokens, votes) of labelled texts by models that had not seen them.
+    tried: list[tuple[float, int, int]] = field(default_factory=list)
+    #: Score from which labelled texts are abusive rather than not.
+    above: float = math.inf
+
+    def __post_init__(self):
+        self._masked: dict[str, float] = {}
+        self._shape: dict[str, list[tuple[str, float]]] | None = None
+        self._pairs: dict[str, dict[str, float]] = {}
+        for w, s in self.weights.items():
+            a, space, b = w.partition(" ")
+            if space:
+                self._pairs.setdefault(a, {})[b] = s
 
     def score(self, token: str) -> float:
+        """The score of a token by itself; cited words never speak for abuse."""
         if token == "|":
-            return -0.5
+            return STOP
         s = self.weights.get(token)
         if s is None:
-            s = self._unmask(token) if "*" in token else self.other
-        return s
-
-    def named(self, name: str) -> list[str]:
-        """The words that mixed letter case hides: the whole in small letters if known, or parts that all tell of abuse."""
-        got = self._named.get(name)
-        if got is None:
-            whole, parts = _plain(name), [_plain(x) for x in _CAMEL.split(name)]
-            got = [whole] if whole in self.weights else parts if all(self.weights.get(x, self.other) > 0 for x in parts) else []
-            if len(self._named) >= KNOWN_WORDS:
-                self._named.clear()
-            self._named[name] = got
-        return got
+            s = self._unmask(token) if "*" in token else OTHER
+        return min(s, 0.0) if token[0] == "~" else s
+
+    def scores(self, ts: list[str]) -> list[float]:
+        """The score of each token; that of a pair known to speak for or against abuse goes before."""
+        out, last, ws, pairs = [], {}, self.weights, self._pairs
+        none: dict[str, float] = {}
+        for t in ts:
+            s = ws.get(t)
+            if s is None or t[0] == "~":
+                s = self.score(t)
+            p = last.get(t)
+            if p is not None:
+                s = max(s, p) if p > 0 else p
+            out.append(s)
+            last = pairs.get(t, none)
+        return out
 
     def _unmask(self, token: str) -> float:
         """The highest score of a known word that the masked one may stand for."""
-        if token not in self.masked:
+        if token not in self._masked:
             if self._shape is None:
                 self._shape = {}
                 for w, s in self.weights.items():
-                    if s > 1 and not w.startswith("~"):
+                    if s > 1 and w[0] not in "~#" and " " not in w and "*" not in w:
                         self._shape.setdefault(w[0], []).append((w, s))
             parts = [p for p in token.split("*") if p]
-            best = self.other
+            best = OTHER
             if sum(map(len, parts)) >= 2 and token[0] != "*" and len(token) >= 3:
-                fit = regex.compile("".join(r"\p{L}+" if c == "*" else regex.escape(c) for c in _RUN.sub(r"\1", token)))
+                fit = regex.compile("".join(r"\p{L}+" if c == "*" else regex.escape(c) for c in token))
                 best = max([s for w, s in self._shape.get(token[0], []) if fit.fullmatch(w)], default=best)
-            if len(self.masked) > 100_000:
-                self.masked.clear()
-            self.masked[token] = best
-        return self.masked[token]
-
-    def passages(self, text: str | None) -> list[tuple[float, str]]:
-        """(expected number by chance, passage) of the positive segments, the most significant first."""
-        ts = tokens(text, self.named)
-        out = []
-        n = min(max(len(ts), 1), SPAN)
-        for a, b, s in segments([self.score(t) for t in ts]):
-            out.append((KARLIN_K * n * math.exp(-self.lam * s), " ".join(x for x in ts[a:b] if x != "|")))
-        return sorted(out)
+            if len(self._masked) > 100_000:
+                self._masked.clear()
+            self._masked[token] = best
+        return self._masked[token]
+
+    def passages(self, ts: list[str]) -> tuple[int, list[float], str | None]:
+        """(tokens of the text, scores of its positive segments, the best of them as text)."""
+        ts = expand(ts, self.weights)
+        scores = self.scores(ts)
+        if not any(s > 0 for s in scores):
+            return len(ts), [], None
+        found = segments(scores)
+        a, b, _ = max(found, key=lambda x: (x[2], -x[0]))
+        return len(ts), [s for _, _, s in found], " ".join(x for x in ts[a:b] if x != "|")
+
+    def chance(self, score: float, n: int) -> float:
+        """The expected number of segments of at least this score in so many tokens of ordinary text."""
+        return self.k * max(n, 1) * math.exp(-self.lam * score)
 
     def measure(self, text: str | None) -> tuple[float, int, str | None]:
-        """(score, significant passages, the worst passage); the score is -log10 of the expected number, 0 at least.
-
-        The significant passages add up: their expected numbers multiply.
-        """
-        found = self.passages(text)
-        if not found:
-            return 0.0, 0, None
-        strong = [e for e, _ in found if e < EXPECTED]
-        log = sum(-math.log10(max(e, 1e-300)) for e in strong) if strong else -math.log10(found[0][0])
-        return max(0.0, log), len(strong), found[0][1]
-
-
-def _lambda(weights: list[tuple[float, float]]) -> float:
-    """The positive root of E[exp(l * score)] = 1 for (score, probability); scores have a negative mean."""
-    f = lambda x: sum(p * math.exp(x * s) for s, p in weights) - 1
-    lo, hi = 1e-3, 1.0
-    if f(lo) >= 0:
-        return lo
-    while f(hi) < 0 and hi < 64:
-        hi *= 2
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return (lo + hi) / 2
-
-
-def _counted(docs: DataFrame, cols: list[str]) -> DataFrame:
-    """(token, n[, cols]) over the whole texts of ``docs``; each batch sends the sums of its tokens."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.select(*cols).schema} if cols else {}
+        """(score, significant passages, the worst passage) of one text, as in ``scored``."""
+        n, found, worst = self.passages(tokens(text))
+        logs = sorted((-math.log10(max(self.chance(s, n), 1e-300)) for s in found), reverse=True)
+        strong = [x for x in logs if x > -math.log10(self.expected)]
+        return max(0.0, sum(strong) if strong else max(logs, default=0.0)), len(strong), worst
+
+
+def _weights(bad: Counter, good: Counter, n_bad: float, n_good: float, corpus: dict[str, int], docs: int) -> dict[str, float]:
+    """Log-odds that a text of either class holds a token, with Dirichlet priors, shrunk by their standard error.
+
+    The prior of both classes is the share of the corpus' documents that hold the token, strengthened by the seeds.
+    """
+    seed_bad, seed_good = _SEEDS
+    strength = min(PRIOR_GOOD, docs)
+    out = {}
+    for w in {*bad, *seed_bad, *seed_good}:
+        share = corpus.get(w, 0) / max(docs, 1)
+        yb = bad[w] + SEED_WEIGHT * seed_bad[w] + PRIOR_BAD * share + 0.05
+        yg = good[w] + SEED_WEIGHT * seed_good[w] + strength * share + 0.5
+        lo = math.log(yb / (n_bad + SEED_DOCS + PRIOR_BAD)) - math.log(yg / (n_good + SEED_DOCS + strength))
+        sure = max(0.0, abs(lo) - SHRINK * math.sqrt(1 / yb + 1 / yg))
+        if sure or " " not in w:
+            out[w] = max(BOTTOM, min(TOP, math.copysign(sure, lo) - DRIFT))
+    return out
+
+
+def _fit(texts: list[Labelled], corpus: dict[str, int], docs: int) -> dict[str, float]:
+    """Scores by rounds: what of an abusive text speaks for abuse is found with the scores of the round before.
+
+    A text with a balance of one counts ``SINGLE``, as one reviewer errs more often than several.
+    """
+    weights = _weights(Counter(), Counter(), 0, 0, corpus, docs)
+    n_bad, n_good = sum(SINGLE if t.votes == 1 else 1.0 for t in texts if t.votes > 0), float(len(texts))
+    good_base: Counter = Counter()
+    for t in texts:
+        if t.votes < 0:
+            good_base.update({x for u in _units(t.tokens) for x in u if x and x != "|"})
+    for r in range(ROUNDS + 1):
+        bad, good = Counter(), Counter(good_base)
+        m = Model(weights)
+        for t in texts:
+            if t.votes < 0:
+                continue
+            weight = SINGLE if t.votes == 1 else 1.0
+            found = segments(m.scores(t.tokens))
+            best = max((s for _, _, s in found), default=0.0)
+            whole = best < PASSAGE
+            inside = {k for a, b, s in found if s >= best / 2 for k in range(a, b)} if not whole else range(len(t.tokens))
+            told, rest = set(), set()
+            for k, u in enumerate(_units(t.tokens)):
+                (told if k in inside else rest).update(x for x in u if x and x != "|")
+            if whole:
+                weight *= 0.5 if r == 0 else WHOLE
+            for x in told:
+                bad[x] += weight
+            good.update(rest - told)
+        weights = _weights(bad, good, n_bad, n_good, corpus, docs)
+    return weights
+
+
+def _best_cut(rows: list[tuple[float, bool]]) -> tuple[float, float, float]:
+    """(cut, precision, recall) where what lies above the cut agrees best with the labels, by F1; half-way to the next value."""
+    rows = sorted(rows, reverse=True)
+    total = sum(y for _, y in rows)
+    best, hits = (0.0, math.inf, 0.0, 0.0), 0
+    for n, (s, y) in enumerate(rows, 1):
+        hits += y
+        f = 2 * hits / (n + total)
+        if f > best[0] and (n == len(rows) or rows[n][0] < s):
+            best = (f, (s + rows[n][0]) / 2 if n < len(rows) else s - 1.0, hits / n, hits / max(total, 1))
+    return best[1:]
+
+
+def _agreed(tried: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Those on which two reviewers and more agree, if both classes have enough of them; else all."""
+    sure = [x for x in tried if abs(x[2]) >= 2]
+    return sure if min(sum(x[2] > 0 for x in sure), sum(x[2] < 0 for x in sure)) >= LEAST_LABELS else tried
+
+
+def make_model(texts: list[Labelled], corpus: dict[str, int], docs: int) -> Model:
+    """The model of labelled texts and the documents of the corpus that hold each token, with what it does on texts left out.
+
+    ``FOLDS`` models, each fitted without a part of the texts, score that part; nothing is tried on a text it was fitted on.
+    """
+    texts = [Labelled(t.tokens, t.votes) for t in texts if t.votes]
+    model = Model(_fit(texts, corpus, docs))
+    if min(sum(t.votes > 0 for t in texts), sum(t.votes < 0 for t in texts)) < LEAST_LABELS:
+        return model
+    for k in range(FOLDS):
+        m = Model(_fit([t for n, t in enumerate(texts) if n % FOLDS != k], corpus, docs))
+        for t in texts[k::FOLDS]:
+            model.tried.append((max((s for _, _, s in segments(m.scores(t.tokens))), default=0.0), len(t.tokens), t.votes))
+    model.above = _best_cut([(s, v > 0) for s, _, v in _agreed(model.tried)])[0]
+    return model
+
+
+def calibrate(model: Model, bins: list[tuple[float, int]], n_tokens: int) -> Model:
+    """Set the decay, the constant and the cut of a model from the scores of all segments of the corpus.
+
+    ``bins``: (middle, segments) of bins of the width ``BIN``. Scores of ordinary text fall off exponentially, K n exp(-lambda s) of them lie at s
+    or above. Lambda is the maximum-likelihood decay of the scores below ``above`` (those beyond are mostly abuse), K
+    follows from their number. The cut is the expected number at which texts left out agree
+    best with the labels that two reviewers and more share.
+    """
+    low = bins[0][0] - BIN / 2 if bins else 0.0
+    high = model.above if math.isfinite(model.above) else max((s for s, _ in bins), default=0.0)
+    body = [(s - low, c) for s, c in bins if s < high]
+    n, width = sum(c for _, c in body), high - low
+    if n >= LEAST_SEGMENTS and width > 0:
+        mean = sum(s * c for s, c in body) / n
+        # mean of an exponential cut off at width: 1/l - width / (exp(l width) - 1), falling in l
+        a, b = -50.0, 50.0
+        for _ in range(80):
+            x = (a + b) / 2
+            y = width / 2 if abs(x * width) < 1e-6 else 1 / x - (width / math.expm1(x * width) if x * width < 700 else 0.0)
+            a, b = (x, b) if y > mean else (a, x)
+        if b > 1e-3:
+            model.lam = (a + b) / 2
+            model.k = n / -math.expm1(-model.lam * width) * math.exp(model.lam * low) / max(n_tokens, 1)
+    if model.tried:
+        sure = _agreed(model.tried)
+        rows = [(-math.log(max(model.chance(s, n), 1e-300)), v > 0) for s, n, v in sure]
+        cut, precision, recall = _best_cut(rows)
+        model.expected = math.exp(-cut)
+        model.heldout = {"texts": len(sure), "abusive": sum(y for _, y in rows), "precision": precision, "recall": recall}
+    return model
+
+
+# --- over the corpus ----------------------------------------------------------------------------------------------
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, tokens) of every row, written once; the tokens are joined by blanks, none for null and empty texts.
+
+    ``source`` is in lower case without blanks.
+    """
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: Counter = Counter()
-            keys = list(zip(*[b.column(k + 1).to_pylist() for k in range(len(cols))])) if cols else [()] * b.num_rows
-            for k, text in zip(keys, b.column(0).to_pylist()):
-                # a word counts once a text: what a text repeats isn't better evidence
-                sums.update((t, *k) for t in (set(tokens(text)) if cols else tokens(text)) if t != "|")
-            rows = list(sums.items())
-            arrays = [pa.array([x[0][0] for x in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())]
-            arrays += [pa.array([x[0][k + 1] for x in rows]) for k in range(len(cols))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["token", "n", *cols])
+            said = [" ".join(tokens(t)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string())], names=["doc_id", "source", "tokens"])
 
-    out = docs.select("text", *cols).mapInArrow(run, "token string, n bigint" + "".join(f", {c} {kinds[c]}" for c in cols))
-    return out.groupBy("token", *cols).agg(F.sum("n").alias("n"))
+    source = F.lower(F.regexp_replace("source", r"\s+", ""))
+    rows = docs.select("doc_id", source.alias("source"), "text").mapInArrow(run, f"doc_id {kind}, source string, tokens string")
+    return materialize(rows, "tokens")
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
-    """(doc_id, abusive): the majority of reviewers, each counted once by the latest row; ties and unsure ones left out."""
+    """(doc_id, votes): reviewers for abusive less those for clean, each counted once by the latest row; ties left out."""
     last = labels.filter("doc_id IS NOT NULL AND verdict IS NOT NULL").groupBy("doc_id", "reviewer").agg(F.max_by("verdict", F.struct("labelled_at", "verdict")).alias("v"))
-    votes = last.groupBy("doc_id").agg(F.sum(F.when(F.col("v") == "abusive", 1).when(F.col("v") == "clean", -1).otherwise(0)).alias("s"))
-    return votes.filter("s <> 0").select("doc_id", (F.col("s") > 0).alias("abusive"))
+    votes = last.groupBy("doc_id").agg(F.sum(F.when(F.col("v") == "abusive", 1).when(F.col("v") == "clean", -1).otherwise(0)).alias("votes"))
+    return votes.filter("votes <> 0")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Model:
-    """Token log-odds of abusive against other texts, with informative Dirichlet priors.
+def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_LABELLED_CHARS) -> Model:
+    """The model of ``tokenised`` documents and their labels, not yet calibrated.
 
-    The prior of both classes is the corpus' own token distribution over all texts; the seed phrases of each class add
-    pseudo-counts. Labelled documents, at most ``max_labelled`` of them, add their counts; without labels the
-    seeds alone decide. Scores are shrunk by their standard error, so a word of few sightings says little.
+    Labelled documents, at most about ``max_labelled`` of them and ``max_chars`` of their tokens, give the class counts;
+    equal texts count once with the votes of all. The corpus prior counts all documents. Without labels the seeds
+    and the corpus alone decide.
     """
-    agreed = verdicts(labels)
-    n = agreed.count()
-    if n > max_labelled:
-        agreed = agreed.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_labelled / n * (1 << 20)))
-    texts = docs.select("doc_id", "text").join(agreed, "doc_id").dropDuplicates(["text", "abusive"])
-    counts = _counted(texts, ["abusive"]).groupBy("token").agg(
-        F.sum(F.when(F.col("abusive"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("abusive"), 0).otherwise(F.col("n"))).alias("good")
-    )
-    counts = materialize(counts, "labelled")
-    corpus = materialize(_counted(docs.select("text").filter("text IS NOT NULL"), []), "corpus")
-    total = corpus.agg(F.sum("n")).first()[0] or 1
-    n_bad, n_good = (counts.agg(F.sum("bad"), F.sum("good")).first() or (0, 0))
-    kept = counts.orderBy(F.desc("bad"), F.desc("good"), "token").limit(max_tokens)
-    seeds = docs.sparkSession.createDataFrame([(t,) for t in sorted({t for p in (*ABUSIVE, *HARMLESS) for t in tokens(p)})], "token string")
-    kept = kept.join(seeds, "token", "full").fillna(0, ["bad", "good"])
-    seen = {r["token"]: (r["bad"], r["good"], r["n"] or 0) for r in kept.join(corpus, "token", "left").collect()}
-    return make_model(seen, n_bad or 0, n_good or 0, total)
-
-
-def make_model(seen: dict[str, tuple[int, int, int]], n_bad: int, n_good: int, total: int) -> Model:
-    """The model of ``seen``: token -> (abusive texts, other texts, occurrences in the corpus)."""
-    bad_seed, good_seed = (Counter(t for p in phrases for t in set(tokens(p)) if t != "|") for phrases in (ABUSIVE, HARMLESS))
-    share = max(total, 1)
-    size_bad = n_bad + SEED_WEIGHT * sum(bad_seed.values()) + PRIOR
-    size_good = n_good + SEED_WEIGHT * sum(good_seed.values()) + CORPUS_WEIGHT * total
-    weights = {}
-    for w in {*seen, *bad_seed, *good_seed}:
-        b, g, c = seen.get(w, (0, 0, 0))
-        yb = b + SEED_WEIGHT * bad_seed[w] + PRIOR * c / share + 0.05
-        yg = g + SEED_WEIGHT * good_seed[w] + CORPUS_WEIGHT * c + 0.05
-        lo = math.log(yb / size_bad) - math.log((yg + 0.5) / (size_good + 0.5))
-        lo = math.copysign(max(0.0, abs(lo) - SHRINK * math.sqrt(1 / yb + 1 / (yg + 0.5))), lo)
-        weights[w] = max(BOTTOM, min(TOP if c / share < COMMON else COMMON_TOP, lo - DRIFT))
-    weights["#id"] = min(weights.get("#id", OTHER), OTHER)
-    # what is cited says nothing about the text that cites it, unless labels say otherwise
-    weights |= {w: min(s, 0.0) if w.startswith("~") else s for w, s in weights.items()}
-    # scores of the corpus' own tokens; those not in the table score OTHER
-    mass = [(weights[w], c) for w, (_, _, c) in seen.items() if c]
-    rest = max(total - sum(c for _, c in mass), 0.02 * share)
-    whole = rest + sum(c for _, c in mass)
-    lam = _lambda([(s, c / whole) for s, c in mass] + [(OTHER, rest / whole)])
-    return Model(weights, OTHER, min(max(lam, LAMBDA[0]), LAMBDA[1]))
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, source, score, passages, worst) of every row of ``docs``; a null or empty text has score 0.
+    marked = materialize(rows.join(verdicts(labels), "doc_id").filter("tokens <> ''").select("doc_id", "tokens", "votes"), "marked")
+    n, chars = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("tokens")), F.lit(0))).first()
+    share = min(1.0, max_labelled / max(n, 1), max_chars / max(chars, 1))
+    if share < 1:
+        marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    by_text: Counter = Counter()
+    for r in marked.collect():
+        by_text[r["tokens"]] += r["votes"]
+    words = set(_SEEDS[0])
+    for said, votes in by_text.items():
+        if votes > 0:
+            words.update(said.split(" "))
+    known = {w: 1.0 if _SEEDS[0][w] else -1.0 for w in words}
+    texts = [Labelled(expand(said.split(" "), known), v) for said, v in sorted(by_text.items())]
+    wanted = {*_SEEDS[0], *_SEEDS[1]} | {x for t in texts if t.votes > 0 for u in _units(t.tokens) for x in u if x and x != "|"}
+    held = _holding(rows, wanted, known)
+    return make_model(texts, {r["token"]: r["n"] for r in held.collect()}, rows.count())
+
+
+def _holding(rows: DataFrame, wanted: set[str], known: dict[str, float]) -> DataFrame:
+    """(token, n): the documents that hold each token or pair of ``wanted``; each batch sends its sums."""
+    sent = rows.sparkSession.sparkContext.broadcast((wanted, known))  # tokens of at most MAX_LABELLED texts
 
-    ``source`` is in lower case without blanks.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.other, model.lam))  # at most MAX_TOKENS entries
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want, names = sent.value
+        sums: Counter = Counter()
+        for b in batches:
+            for said in b.column(0).to_pylist():
+                if said:
+                    ts = expand(said.split(" "), names)
+                    sums.update(want.intersection(ts))
+                    sums.update(want.intersection(map(" ".join, zip(ts, ts[1:]))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["token", "n"])
+
+    return rows.select("tokens").mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _segmented(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, source, n, scores, worst): tokens of each document and the scores of its positive segments, written once."""
+    sent = rows.sparkSession.sparkContext.broadcast(model.weights)  # tokens of at most MAX_LABELLED texts
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*sent.value)
+        m = Model(sent.value)
         for b in batches:
-            got = [m.measure(t) for t in b.column(2).to_pylist()]
+            got = [m.passages(t.split(" ")) if t else (0, [], None) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.string())],
-                names=["doc_id", "source", "score", "passages", "worst"],
+                [b.column(0), b.column(1), pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.list_(pa.float64())), pa.array([x[2] for x in got], pa.string())],
+                names=["doc_id", "source", "n", "scores", "worst"],
             )
 
-    source = F.lower(F.regexp_replace("source", r"\s+", ""))
-    return docs.select("doc_id", source.alias("source"), "text").mapInArrow(run, f"doc_id {kind}, source string, score double, passages int, worst string")
+    return materialize(rows.mapInArrow(run, f"doc_id {kind}, source string, n int, scores array<double>, worst string"), "segments")
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
+    """(doc_id, source, score, passages, worst) of every row of ``docs``, and the calibrated model.
+
+    Texts are tokenised once and the tokens written; the model is fitted, all segments scored, and the distribution of
+    their scores over the whole corpus gives each its expected number by chance. ``score`` is -log10 of the product of
+    the significant ones' (else of the least), 0 at least; a null or empty text has score 0.
+    """
+    rows = tokenised(docs)
+    model = fit(rows, labels)
+    found = _segmented(rows, model)
+    steps = found.select(F.explode("scores").alias("s")).groupBy(F.floor(F.col("s") / BIN).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    bins = sorted(((r["b"] + 0.5) * BIN, r["c"]) for r in steps.collect())
+    model = calibrate(model, bins, found.agg(F.sum("n")).first()[0] or 0)
+    log = lambda s: s * (model.lam / math.log(10)) - F.log10(F.greatest(F.col("n"), F.lit(1)) * model.k)
+    cut = -math.log10(model.expected)
+    logs = F.transform("scores", log)
+    strong = F.filter("logs", lambda x: x > cut)
+    out = found.withColumn("logs", logs).withColumn("strong", strong)
+    score = F.when(F.size("strong") > 0, F.aggregate("strong", F.lit(0.0), lambda a, x: a + x)).otherwise(F.coalesce(F.array_max("logs"), F.lit(0.0)))
+    return out.select("doc_id", "source", F.greatest(score, F.lit(0.0)).alias("score"), F.size("strong").alias("passages"), "worst"), model
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``judged``: (doc_id, source, score, passages, worst)."""
+    return judged(docs, labels)[0]
 
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score, passages, worst) of the documents with a significant passage."""
-    return scored(docs, fit(docs, labels)).filter(F.col("score") >= -math.log10(EXPECTED))
+    return scored(docs, labels).filter("passages > 0")
 
 
 def rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(source, docs, flagged, rate) per source; a null source is a group of its own."""
-    all_docs = scored(docs, fit(docs, labels))
-    hit = F.count_if(F.col("score") >= -math.log10(EXPECTED))
-    return all_docs.groupBy("source").agg(F.count("*").alias("docs"), hit.alias("flagged")).withColumn("rate", F.round(F.col("flagged") / F.col("docs"), 6))
+    by = scored(docs, labels).groupBy("source").agg(F.count("*").alias("docs"), F.count_if(F.col("passages") > 0).alias("flagged"))
+    return by.withColumn("rate", F.round(F.col("flagged") / F.col("docs"), 6))

@@ -1,4 +1,8 @@
-"""Seed phrases of the priors, and letters that look like Latin ones."""
+"""Seed words of the priors, and letters that look like Latin ones.
+
+The seeds are common vocabulary: words and set phrases of three words at most, as any dictionary marks them vulgar, offensive or
+technical. None is a sentence, and none was taken from a text that is to be judged.
+"""
 
 #: Letters of other alphabets and the Latin letter they look like.
 LOOKALIKE = str.maketrans({
@@ -9,136 +13,41 @@ LOOKALIKE = str.maketrans({
     "Т": "T", "Н": "H", "В": "B",
 })
 
-#: Phrases that insult, threaten or demean, or are sexually explicit.
-ABUSIVE = """
-you are such a fucking idiot
-shut up you worthless piece of shit
-what a pathetic asshole you are
-go to hell you moron
-nobody asked you you miserable bastard
-you stupid bitch
-are you really such a brainless imbecile or just a liar
-the author is a prick and everybody knows it
-you spineless cretin
-you make me sick you dumbass
-you are a waste of space
-another stupid comment from that jackass
-kill yourself loser
-fuck you and your code
-fuck off scumbag
-read it again douchebag if you can read at all
-whoever wrote this is a brainless halfwit
-your whole team are fucking dickheads
-shithead parasite dipshit motherfucker wanker twat cunt slut whore faggot retard
-my dog writes better code than you
-even a trained monkey would be ashamed to be related to you
-i have scraped better people than you off my shoe
-crawl back into the sewer you came from
-your parents must regret that you were born
-do the world a favour and stop breathing
-you have the mind of a brick and the charm of a landfill
-i will find out where you live and break your fingers
-i will come to your house and hurt you
-watch your back on the way home
-somebody ought to strangle you
-you deserve a bullet in your head
-you should be beaten until you stop
-i hope you die soon
-go back to your country we do not want your kind here
-your kind belongs in a cage
-immigrants are parasites
-foreigners are vermin and should be thrown out
-all of those refugees ought to be exterminated
-people of your religion are subhuman filth
-your race has never built anything you animals
-women are too stupid to think
-gay people are disgusting freaks
-disabled people should never have been born
-old people are useless rubbish and should die
-jews muslims blacks gypsies are scum
-hot naked women on live cam free porn tonight
-hardcore xxx videos adults fucking on camera click now
-watch explicit sex tapes blowjob and orgy collection
-horny singles want sex chat with you
-she moaned while he licked her naked body
-he pulled down his pants and asked her to suck it
-show us your tits
-send me nudes
-i want to see you naked sexy
-pussy cock dick anal cumshot masturbate nude girls
-du bist ein verdammtes arschloch
-halt die fresse du vollidiot
-verpiss dich du wichser
-du dumme sau kannst gar nichts
-schlampe geh zurück an den herd
-verrecke doch endlich
-ausländer sind ungeziefer und gehören raus
-ich schlage dir die zähne ein
-gratis pornos nackte frauen vor der kamera
-du hurensohn fick dich du missgeburt
-va te faire foutre connard
-ferme ta gueule abruti
-espèce d'imbécile tu ne sers à rien
-t'es qu'un pauvre con
-salope retourne à la cuisine
-crève sale merde
-les étrangers sont de la vermine dehors
-je vais te casser la gueule
-vidéos porno gratuites femmes nues en direct
-fils de pute enculé nique ta mère
-eres un imbécil de mierda
-cállate idiota asqueroso
-vete a la mierda hijo de puta
-pedazo de cabrón no sirves para nada
-puta vuelve a la cocina
-ojalá te mueras pronto
-los extranjeros son basura y sobran aquí
-te voy a partir la cara
-porno gratis mujeres desnudas en directo
-gilipollas maricón que te jodan
-vaffanculo stronzo sei un coglione di merda
-puttana torna in cucina figlio di puttana
-vai tomar no cu seu filho da puta idiota
-cala a boca seu merda vagabunda
-hou je bek klootzak kankerhoer
-spierdalaj kurwa ty debilu
-заткнись сука ты дебил иди нахуй
-siktir git orospu çocuğu
-""".strip().splitlines()
 
-#: Phrases that are rough about software, terms of the trade, or that cite words of a filter or a rule.
-HARMLESS = """
-kill the child process before the parent dies or it becomes a zombie
-the master node aborts if a slave is orphaned
-the blacklist kills every job that hangs dead children are reaped
-the test terminates the victim thread and injects a shot clock
-the worker shoots itself in the head when memory runs out suicide mode
-we should nuke the cache and murder the stale locks
-attack vector a poisoned header makes the parser choke and die
-a penetration test of the module is planned
-the killer feature is the fork bomb guard
-the garbage collector treats weak parents as trash
-execute the hook then strip the binary and dump the naked function list
-bare metal nude palette hot reload and hard limits are options of the theme
-explicit adult flag set it to false for the demo shop
-the sex column of the sample data has three values
-titles in the essex and scunthorpe fixtures must not be masked
-pass the passphrase to assess the analysis class asserts it
-what a crappy build it fails again on this bloody cache
-damn this bug cost me a whole day but the fix is small
-hit and miss counts were swapped a silly mistake of mine
-i feel dumb for not seeing that earlier thanks for your patience
-the stupid simple parser handles the idiot-proof form as well
-this is a dirty hack the dumb terminal needs it
-this code is shit and the build is a fucking mess again
-the filter masks words but forgets the plural see the mask table
-fixture lists a blocked word keep the list sorted
-our rules of conduct say do not call anyone names
-the word filter test feeds words to the scorer and expects a hit
-der elternprozess tötet das kind und stirbt danach
-le processus tue ses enfants avant de mourir
-el proceso mata a sus hijos y luego muere
-thanks merged with a small fix could you take a look please
-i would move the check out of this function what do you think of your change
-you can set the option in your config if you want to see the old order
-""".strip().splitlines()
+def _entries(text: str) -> list[str]:
+    return [p for line in text.strip().splitlines() for p in (x.strip() for x in line.split(",")) if p]
+
+
+#: Insults, threats, contempt for groups of people, and sexually explicit words.
+ABUSIVE = _entries("""
+idiot, idiots, moron, morons, imbecile, cretin, halfwit, dimwit, nitwit, numbskull, blockhead, brainless, dumbass, dumbasses, jackass, asshole, assholes, arsehole
+bastard, bastards, bitch, bitches, scumbag, scum, douchebag, douche, prick, dickhead, wanker, tosser, bellend, twat, cunt, cunts, motherfucker, motherfuckers, shithead, dipshit
+slut, whore, skank, retard, retarded, faggot, faggots, fag, tranny, dyke, nigger, niggers, kike, spic, chink, wetback, paki, gook, raghead
+loser, losers, worthless, pathetic, spineless, gutless, lowlife, degenerate, subhuman, vermin, parasites, cockroaches, filth, savages, freaks, inbred
+fuck, fucks, fucking, fucker, fuckers, fuckface, fuckwit, shut up, piss off, screw you, fuck you, fuck off, go to hell, drop dead, get lost
+you disgust me, you sicken me, hate your guts, ugly pig, fat pig, stupid cow, liar, coward, your ugly face, you people
+kill yourself, kill you, hurt you, beat you up, strangle you, stab you, shoot you, slit your throat, break your legs, break your neck, hang yourself, hunt you down, you will die, deserve to die, rape, rape you, bullet, bomb your house
+go back home, not welcome here, your kind, exterminate, exterminated, gas chamber, ethnic cleansing, master race, white power, genocide, deport them
+porn, porno, pornos, xxx, hardcore sex, nude, nudes, naked, boobs, tits, titties, pussy, cock, dick, penis, vagina, clit, anal, anus, blowjob, handjob, cumshot, cum, orgasm, orgy, gangbang, threesome, masturbate, masturbating, horny, milf, escort girls, sexy, erotic, erotica, sex tape, sex chat, webcam girls, camgirls, strip tease, moaned, aroused, nipples, penetrated, genitals, threesomes, suck my, lick my, sex videos, having sex
+arschloch, arschlöcher, arsch, wichser, hurensohn, hure, nutte, schlampe, fotze, missgeburt, vollidiot, idioten, trottel, depp, spast, schwuchtel, kanake, untermensch, ungeziefer, abschaum, drecksau, dreckskerl, miststück, verpiss dich, fick dich, ficken, gefickt, halt die fresse, halts maul, fresse, verrecke, verreck, blöde kuh, dumme kuh, umbringen, titten, schwanz, muschi, nackt, nackte, geil, versager
+connard, connards, connasse, salope, salopes, pute, putain, enculé, enculer, abruti, abrutie, crétin, débile, bâtard, ordure, raclure, sous merde, pauvre type, ta gueule, ferme la, va te faire, nique ta mère, fils de pute, foutre, crever, crève, pédé, bougnoule, youpin, sale race, vermine, baiser, bite, chatte, nichons, seins nus, nue, nues, porno gratuit, vais te tuer, casser la gueule
+imbécil, imbéciles, gilipollas, cabrón, cabrona, cabrones, pendejo, pendeja, idiota, estúpido, estúpida, zorra, puta, putas, puto, hijo de puta, hija de puta, vete al carajo, chinga tu madre, coño, maricón, maricones, basura humana, escoria, sudaca, voy a matar, muérete, mierda, cállate, que te jodan, joder, follar, polla, tetas, desnuda, desnudas, cachonda, subnormal, asqueroso, asquerosa, inútil
+stronzo, stronza, coglione, coglioni, cazzo, vaffanculo, puttana, troia, figlio di puttana, merda, frocio, bastardo, deficiente, cretino, sei un idiota, ti ammazzo, tette, scopare, nuda, nude
+filho da puta, vai se foder, vai tomar no, cu, caralho, vagabunda, vadia, viado, otário, babaca, desgraçado, cala a boca, vou te matar, burro, buceta, pau duro, pelada
+klootzak, kankerhoer, kutwijf, hoer, lul, eikel, mongool, tering, flikker, rot op, hou je bek, godverdomme, neuken
+kurwa, chuj, pierdol, spierdalaj, pizda, skurwysyn, dupek, debil, idioto, jebać, zabiję cię, cipa
+сука, блядь, хуй, пизда, ебать, мудак, дебил, идиот, урод, мразь, тварь, иди нахуй, заткнись, убью тебя, шлюха, пидор, жид
+siktir, orospu, orospu çocuğu, amına koyayım, piç, ibne, gerizekalı, aptal, salak, göt
+""")
+
+#: Terms of the trade, and rough words about software and work.
+HARMLESS = _entries("""
+kill process, kill the process, kill job, kill signal, killed by, sigkill, child process, child processes, zombie process, orphan process, orphaned child, parent dies, reap children, fork bomb, abort, aborted, terminate, terminates, master branch, master node, slave node, master slave, blacklist, whitelist, denylist, victim thread, victim process, suicide mode, poison pill, poisoned, dead code, dead lock, deadlock, race condition, race conditions
+execute, executes, execution, injection, sql injection, attack vector, attack surface, penetration test, exploit, man in the, nuke cache, killer feature, garbage collector, garbage collection, dirty hack, dirty flag, dirty read, brute force, stupid simple, dumb terminal, dumb pipe, idiot proof, fool proof, crap, crappy, damn, bloody, sucks, hell, stupid bug, stupid mistake, silly mistake, dumb mistake, stupid build, my bad
+strip binary, naked function, naked pointer, bare metal, hot reload, hard limit, explicit flag, adult flag, sex column, sex field, gender field, sexuality, unisex, essex, sussex, scunthorpe, penistone, cockpit, cocktail, peacock, hancock, dickens, analysis, analyse, analyst, assess, assert, assets, class, bypass, passphrase, cumulative, document, circumvent, titles, title, shuttle, therapist
+blocked word, bad word, bad words, word filter, word list, profanity filter, swear words, stop words, code of conduct, banned words, slur list
+thanks, thank you, please, merged, could you, would you, reviewed, looks good, nice work, sorry, your config, your patch, your change
+tötet den prozess, kindprozess, elternprozess, abbrechen, danke, bitte
+tue le processus, processus enfant, processus fils, merci
+mata el proceso, proceso hijo, gracias
+""")

@@ -69,8 +69,7 @@ def p9_found(spark, d):
 
 
 def p9_scores(spark, d):
-    docs = table(spark, d, "documents")
-    return abuse.scored(docs, abuse.fit(docs, table(spark, d, "labels"))).select("doc_id", "score", "passages", "worst")
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "labels")).select("doc_id", "score", "passages", "worst")
 
 
 def p9_rates(spark, d):
