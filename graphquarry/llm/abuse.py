@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,17 +41,21 @@ LAMBDA, KARLIN_K, LEAST_SEGMENTS, BIN = 1.0, 0.1, 50, 0.125
 EXPECTED, LEAST_LABELS = 0.05, 20
 
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}­]+")
-_SPACED = regex.compile(r"(?<![\p{L}\p{N}])((?:[\p{L}$@!]\.){2,}[\p{L}]|[\p{L}$@!](?:[ _\-*]\p{L}){2,})(?![\p{L}\p{N}])")
-_TOKEN = regex.compile(r"""(?:[\p{L}$@][\p{L}\p{N}$@*!'’]*|\p{N}+\p{L}[\p{L}\p{N}$@*!]*)|["“”„«»`]|[.!?;:]|\n""")
+_SPACED_FORM = r"(?<![{L}{N}])((?:[{L}$@!]\.){{2,}}[{L}]|[{L}$@!](?:[ _\-*][{L}]){{2,}})(?![{L}{N}])"
+_TOKEN_FORM = r"""(?:[{L}$@][{L}{N}$@*!'’]*|[{N}]+[{L}][{L}{N}$@*!]*)|["“”„«»`]|[.!?;:]|\n"""
+_SPACED, _TOKEN = (regex.compile(f.format(L=r"\p{L}", N=r"\p{N}")) for f in (_SPACED_FORM, _TOKEN_FORM))
+#: The same for texts of nothing but ASCII.
+_SPACED_ASCII, _TOKEN_ASCII = (re.compile(f.format(L="A-Za-z", N="0-9"), re.A) for f in (_SPACED_FORM, _TOKEN_FORM))
+_BETWEEN = re.compile(r"[ ._\-*]")
 _LEET = str.maketrans("013457$@!", "oieastsai")
-#: Spellings whose plain form a worker keeps.
-KNOWN_WORDS = 200_000
-_KNOWN: dict[str, str] = {}
 _CODE = regex.compile(r"_|\p{Ll}\p{Lu}|\(")
 _RUN = regex.compile(r"(.)\1+")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
 #: Opening quotes and what closes them.
 _QUOTES, _STOPS = {'"': '"', "`": "`", "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«"}, frozenset(".!?;:\n")
+#: Spellings whose plain form a worker keeps; quotes and stops stand for themselves.
+KNOWN_WORDS = 200_000
+_KNOWN: dict[str, str] = {}
 #: Words in quotes up to this length are cited, not said, if one of so many words before or after tells of a filter, list or rule.
 CITED_WORDS, CITED_NEAR = 4, 12
 _CITING = regex.compile(r"(?:block|ban|filter|list|blacklist|denylist|blocklist|stoplist|wordlist|rule|guideline|polic|moderat|censor|profan|forbid|prohibit|fixture|liste|regel|gesperrt|verbot|regla|filtr|regle|interdit|prohibid)\p{L}*")
@@ -61,6 +69,18 @@ def _plain(token: str) -> str:
     return _RUN.sub(r"\1", t)
 
 
+@lru_cache(KNOWN_WORDS)
+def _cites(word: str) -> bool:
+    return _CITING.fullmatch(word) is not None
+
+
+def _spelled(w: str) -> str:
+    if len(_KNOWN) >= KNOWN_WORDS:
+        _KNOWN.clear()
+    p = _KNOWN[w] = w if w in _QUOTES or w in _STOPS else "#" + w if _CODE.search(w) else _plain(w)
+    return p
+
+
 def tokens(text: str | None) -> list[str]:
     """Tokens of a text in a spelling that undoes disguises; null and empty texts have none.
 
@@ -75,35 +95,32 @@ def tokens(text: str | None) -> list[str]:
     t = text
     if not t.isascii():
         t = _UNSEEN.sub("", unicodedata.normalize("NFKD", t)).translate(LOOKALIKE)
-    t = _SPACED.sub(lambda m: regex.sub(r"[ ._\-*]", "", m[0]), t)
+    plain = t.isascii()
+    t = (_SPACED_ASCII if plain else _SPACED).sub(lambda m: _BETWEEN.sub("", m[0]), t)
     out: list[str] = []
-    quoted_at, closing, quoted = 0, "", []
-    for m in _TOKEN.finditer(t):
-        w = m[0]
-        if w in _QUOTES:
+    quoted_at, closing, quoted, known = 0, "", [], _KNOWN
+    for w in (_TOKEN_ASCII if plain else _TOKEN).findall(t):
+        p = known.get(w)
+        if p is None:
+            p = _spelled(w)
+        if p in _STOPS:
+            if w == "\n":
+                closing = ""
+            if out and out[-1] != "|":
+                out.append("|")
+        elif p in _QUOTES:
             if not closing:
                 quoted_at, closing = len(out), _QUOTES[w]
             elif w in closing:
                 if 0 < len(out) - quoted_at <= CITED_WORDS and "|" not in out[quoted_at:]:
                     quoted.append((quoted_at, len(out)))
                 closing = ""
-            continue
-        if w in _STOPS:
-            if w == "\n":
-                closing = ""
-            if out and out[-1] != "|":
-                out.append("|")
-            continue
-        p = _KNOWN.get(w)
-        if p is None:
-            if len(_KNOWN) >= KNOWN_WORDS:
-                _KNOWN.clear()
-            p = _KNOWN[w] = "#" + w if _CODE.search(w) else _plain(w)
-        if p:
+        elif p:
             out.append(p)
-    around = [x for x in quoted if any(_CITING.fullmatch(y) for y in out[max(0, x[0] - CITED_NEAR) : x[0]] + out[x[1] : x[1] + CITED_NEAR])]
-    for a, b in around:
-        out[a:b] = ["~" + x for x in out[a:b]]
+    if quoted:
+        around = [x for x in quoted if any(map(_cites, out[max(0, x[0] - CITED_NEAR) : x[0]] + out[x[1] : x[1] + CITED_NEAR]))]
+        for a, b in around:
+            out[a:b] = ["~" + x for x in out[a:b]]
     return out
 
 
@@ -177,6 +194,13 @@ class Labelled:
     votes: int
 
 
+def _worst(scores: list[float], tokens_of) -> tuple[list[float], str]:
+    """Scores of all positive segments, and the tokens of the best."""
+    found = segments(scores)
+    a, b, _ = max(found, key=lambda x: (x[2], -x[0]))
+    return [s for _, _, s in found], " ".join(x for x in tokens_of(a, b) if x != "|")
+
+
 @dataclass
 class Model:
     """Scores of tokens and pairs, and the extreme-value distribution of segment scores in the corpus."""
@@ -248,9 +272,7 @@ class Model:
         scores = self.scores(ts)
         if not any(s > 0 for s in scores):
             return len(ts), [], None
-        found = segments(scores)
-        a, b, _ = max(found, key=lambda x: (x[2], -x[0]))
-        return len(ts), [s for _, _, s in found], " ".join(x for x in ts[a:b] if x != "|")
+        return len(ts), *_worst(scores, lambda a, b: ts[a:b])
 
     def chance(self, score: float, n: int) -> float:
         """The expected number of segments of at least this score in so many tokens of ordinary text."""
@@ -385,6 +407,56 @@ def calibrate(model: Model, bins: list[tuple[float, int]], n_tokens: int) -> Mod
     return model
 
 
+# --- batches as numbers -------------------------------------------------------------------------------------------
+
+
+class _Coder:
+    """Numbers the words of a table of words and pairs, and finds them in whole batches of joined tokens at once."""
+
+    def __init__(self, table):
+        self.table = table
+        pairs = [w.partition(" ")[::2] for w in table if " " in w]
+        self.words = sorted({w for w in table if " " not in w} | {x for p in pairs for x in p})
+        self.number = {w: k for k, w in enumerate(self.words)}
+        keys = sorted((self.number[a] * len(self.words) + self.number[b], f"{a} {b}") for a, b in pairs)
+        self.keys = np.array([k for k, _ in keys], np.int64)
+        self.pairs = [w for _, w in keys]
+
+    def code(self, said: pa.Array, known) -> _Coded:
+        lists = pc.split_pattern(said.fill_null(""), " ")
+        values = lists.flatten().dictionary_encode()
+        vocab = values.dictionary.to_pylist()
+        at = values.indices.to_numpy()
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        doc = np.repeat(np.arange(len(lists)), np.diff(ends))
+        named = [w if not w or w[0] != "#" else expand([w], known) for w in vocab]
+        # names that stand for words change the tokens of their text; such texts are few and go by themselves
+        odd = np.array([isinstance(w, list) and w != ["#id"] for w in named], bool)
+        apart = np.zeros(len(lists), bool)
+        apart[doc[odd[at]]] = True
+        vocab = ["#id" if isinstance(w, list) else w for w in named]
+        ids = np.array([self.number.get(w, -1) for w in vocab], np.int64)[at]
+        key = np.full(len(at), -1, np.int64)
+        if len(at) > 1 and len(self.keys):
+            k = ids[:-1] * len(self.words) + ids[1:]
+            pos = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+            key[1:] = np.where((self.keys[pos] == k) & (ids[:-1] >= 0) & (ids[1:] >= 0) & (doc[1:] == doc[:-1]), pos, -1)
+        return _Coded(vocab, at, ends, doc, ids, key, apart)
+
+
+@dataclass
+class _Coded:
+    """Of each token its word in ``vocab``, its text, its number and the place of the pair it ends; -1 where there is none."""
+
+    vocab: list[str]
+    at: np.ndarray
+    ends: np.ndarray
+    doc: np.ndarray
+    ids: np.ndarray
+    key: np.ndarray
+    apart: np.ndarray
+
+
 # --- over the corpus ----------------------------------------------------------------------------------------------
 
 
@@ -444,13 +516,20 @@ def _holding(rows: DataFrame, wanted: set[str], known: dict[str, float]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, names = sent.value
+        coder = _Coder(want)
         sums: Counter = Counter()
         for b in batches:
-            for said in b.column(0).to_pylist():
-                if said:
-                    ts = expand(said.split(" "), names)
-                    sums.update(want.intersection(ts))
-                    sums.update(want.intersection(map(" ".join, zip(ts, ts[1:]))))
+            c = coder.code(b.column(0), names)
+            for found, units in ((c.ids, coder.words), (c.key, coder.pairs)):
+                take = (found >= 0) & ~c.apart[c.doc]
+                once = np.unique(c.doc[take] * len(units) + found[take]) % max(len(units), 1)
+                for k, n in zip(*(x.tolist() for x in np.unique(once, return_counts=True))):
+                    sums[units[k]] += n
+            for k in np.flatnonzero(c.apart).tolist():
+                ts = expand(b.column(0)[k].as_py().split(" "), names)
+                sums.update(want.intersection(ts))
+                sums.update(want.intersection(map(" ".join, zip(ts, ts[1:]))))
+        sums = Counter({w: n for w, n in sums.items() if w in want})
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["token", "n"])
 
     return rows.select("tokens").mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
@@ -463,8 +542,27 @@ def _segmented(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(sent.value)
+        coder = _Coder(m.weights)
+        pair_scores = np.array([m.weights[p] for p in coder.pairs] + [0.0])
         for b in batches:
-            got = [m.passages(t.split(" ")) if t else (0, [], None) for t in b.column(2).to_pylist()]
+            if not b.num_rows:
+                continue
+            c = coder.code(b.column(2), m.weights)
+            single = np.array([m.score(w) if w else OTHER for w in c.vocab])[c.at]
+            pair = pair_scores[c.key]
+            s = np.where(c.key < 0, single, np.where(pair > 0, np.maximum(single, pair), pair))
+            some = np.maximum.reduceat(s, c.ends[:-1]) > 0
+            got = []
+            for k, said in enumerate(b.column(2).to_pylist()):
+                if not said:
+                    got.append((0, [], None))
+                elif c.apart[k]:
+                    got.append(m.passages(said.split(" ")))
+                elif some[k]:
+                    lo, hi = c.ends[k], c.ends[k + 1]
+                    got.append((int(hi - lo), *_worst(s[lo:hi].tolist(), lambda x, z: [c.vocab[w] for w in c.at[lo + x : lo + z].tolist()])))
+                else:
+                    got.append((int(c.ends[k + 1] - c.ends[k]), [], None))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.list_(pa.float64())), pa.array([x[2] for x in got], pa.string())],
                 names=["doc_id", "source", "n", "scores", "worst"],

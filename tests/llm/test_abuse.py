@@ -93,6 +93,24 @@ def test_calibration_finds_the_decay():
     assert abs(m.chance(3.0, 10**7) / sum(round(1e6 * 2.718281828 ** (-0.7 * k / 8)) for k in range(24, 160)) - 1) < 0.1
 
 
+def test_batches_equal_single_texts():
+    """Whole batches as numbers give what text after text gives."""
+    import pyarrow as pa
+
+    m = abuse.Model({"moron": 2.0, "you": -0.2, "you moron": 3.0, "fuck": 1.0, "fuck you": 2.5, "the": -1.0, "the moron": -2.0, "#id": -1.0})
+    texts = ["you moron. the moron", "fuckYou foldPage moron", "", None, "the the the", "moron", "a foldPage b moron moron"]
+    said = [" ".join(abuse.tokens(t)) for t in texts]
+    coder = abuse._Coder(m.weights)
+    c = coder.code(pa.array([x or None for x in said]), m.weights)
+    assert c.apart.tolist() == [False, True] + [False] * 5
+    for k, t in enumerate(said):
+        if t and not c.apart[k]:
+            ts = abuse.expand(t.split(" "), m.weights)
+            lo, hi = c.ends[k], c.ends[k + 1]
+            assert [c.vocab[w] for w in c.at[lo:hi]] == ts
+            assert [coder.pairs[p] if p >= 0 else None for p in c.key[lo:hi]] == [p if p in m.weights else None for _, p in abuse._units(ts)]
+
+
 def test_cut():
     assert abuse._best_cut([(9, True), (8, True), *[(3, False)] * 9, (2, True), (1, False)])[1:] == (1.0, 2 / 3)
     assert abuse._best_cut([(9, True), (8, True), (3, False)])[0] == 5.5
