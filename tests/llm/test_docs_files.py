@@ -148,14 +148,43 @@ def file_rows(n=600):
     rows += [(f"r/fixtures/words_{name(k)}.py", *few()) for k in range(40)]
     rows += [(f"r/plain/{name(k)}.ts", *few()) for k in range(40)]
     rows += [(f"r/big/{name(k)}.ts", int(rng.integers(100_000, 200_000)), 300, 1) for k in range(40)]
-    return rows + [("r/a.min.js", 10, 1, 1), ("r/null.py", None, None, 1), ("r/nonodes.py", 500_000, None, 1), (None, 1, 1, 1), ("r/twice.py", 500_000, 1, 1), ("r/twice.py", 500, 1, 2)]
+    rows += [(f"r/web/{name(k)}{k}.min.js", int(rng.integers(500, 9000)), int(rng.integers(1, 9)), 1) for k in range(30)]
+    return rows + [("r/a.min.js", 10, 1, 1), ("r/null.py", None, None, 1), ("r/null.min.js", None, None, 1), ("r/nonodes.py", 500_000, None, 1), (None, 1, 1, 1), ("r/twice.py", 500_000, 1, 1), ("r/twice.py", 500, 1, 2)]
+
+
+FILES = "path string, size bigint, node_count int, indexed_at bigint, tidy string"
 
 
 def test_unwritten(spark):
-    df = spark.createDataFrame([(*r, "x") for r in file_rows()], "path string, size bigint, node_count int, indexed_at bigint, tidy string")
+    df = spark.createDataFrame([(*r, "x") for r in file_rows()], FILES)
     got = {r["path"]: r["verdict"] for r in uw.judged(df).collect()}
-    assert {p for p, v in got.items() if v == "dense"} == {r[0] for r in file_rows() if r[0] and ("/plain/" in r[0] or "words_" in r[0])}
-    assert got["r/a.min.js"] == "built" and got["r/twice.py"] == "written" and None not in got
+    dense = {r[0] for r in file_rows() if r[0] and ("/plain/" in r[0] or "words_" in r[0])}
+    # found by the forest alone: none of them bears a notice
+    assert {p for p, v in got.items() if v == "dense"} >= dense and not any(uw.notice(p) for p in dense)
+    written = [r for r in file_rows() if r[0] and r[0] not in dense and not uw.notice(r[0])]
+    assert sum(got[r[0]] != "written" for r in written) <= 0.03 * len(written)
+    assert got["r/a.min.js"] == got["r/null.min.js"] == "built" and got["r/twice.py"] == got["r/null.py"] == "written" and None not in got
+    assert all(v == "built" for p, v in got.items() if p.endswith(".min.js"))
     assert {r["verdict"] for r in uw.verdict_counts(df).collect()} == {"dense", "built", "written"}
     assert uw.unwritten(df.filter("false")).count() == 0
     assert uw.judged(df, train_rows=300).count() == len(got)
+
+
+def test_the_forest_decides(spark):
+    """A notice only labels: what is like no other noticed file is written, and what is like them is found without one."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    size = lambda: (int(rng.integers(500, 9000)), int(rng.integers(5, 30)), 1, "x")
+    rows = [(f"r/src/a{chr(97 + k % 26)}{k}.py", *size()) for k in range(400)]
+    rows += [(f"r/node_modules/p{k}/a{chr(97 + k % 26)}.js", *size()) for k in range(60)]
+    rows += [("r/src/alone_pb2.py", *size()), ("r/node_modules/readme_a", *size())]
+    got = {r["path"]: r["verdict"] for r in uw.judged(spark.createDataFrame(rows, FILES)).collect()}
+    assert all((v == "vendored") == ("node_modules" in p and "/p" in p) for p, v in got.items() if "readme" not in p and "alone" not in p)
+    assert uw.notice("r/src/alone_pb2.py") == "generated" and got["r/src/alone_pb2.py"] == "written"
+
+
+def test_marks():
+    above, names = uw.marks("r/node_modules/left-pad-1.3.0/moc_x9.tab.cpp")
+    assert "node_modules/.../" in above and "node_modules/<version>/" in above and {"moc_*.cpp", "*.tab.cpp"} <= names
+    assert uw.marks("a")[0] == set() and uw.Rates({"m": (3, 1)}).of({"m"}, True) == 0.0 and uw.Rates({"m": (3, 2)}).of({"m", "z"}, False) > 0
