@@ -23,20 +23,21 @@ def parent_links(edges: DataFrame, kind: str = "contains") -> DataFrame:
     )
 
 
-def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1, hot_rows: int = 100_000, with_above: bool | None = None) -> DataFrame:
-    """(node_id, root_id, depth[, path][, above]) of every id that occurs in ``links(child, parent)``.
+def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1, hot_rows: int = 100_000, with_above: bool | None = None, with_ring: bool = False) -> DataFrame:
+    """(node_id, root_id, depth[, path][, above][, ring]) of every id that occurs in ``links(child, parent)``.
 
     Level-wise frontier joins start from the roots; each level is one join of the frontier with the links, which are
     bucketed by parent once, so that only the frontier moves. When a frontier has shrunk to less than ``tail_share`` of
     the links that are still unreached (long thin chains, or nothing but circles are left), the unreached links double
     their pointers instead, which needs as many rounds as the logarithm of the depth. What then is still unreached
-    lies on a circle or beneath one: depth -1, root_id the smallest id on that circle and a null path.
+    lies on a circle or beneath one: depth -1, root_id the smallest id on that circle and a null path. With a ``tail_share`` of 0
+    frontier joins go on to the end, one for each level: right for flat trees, slow for chains of hundreds.
 
     A parent that holds more than ``hot_rows`` links and more than a share of them is salted over all buckets.
     A node that is its own parent is a circle of one. Empty links give an empty result. ``path`` is the array of ids
     from the root to the node itself. ``above`` (with the path, unless ``with_above`` is false) is null where there is a
     path; at circles it holds every id above the node once, nearest last, and then the node: the whole circle, ending
-    with the id on it that the node hangs from (or is), then the way down.
+    with the id on it that the node hangs from (or is), then the way down. ``ring`` tells ids on circles.
     """
     with_above = with_path if with_above is None else with_above
     width = shuffle_width(links.sparkSession)
@@ -71,6 +72,8 @@ def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1
     done = reduce(DataFrame.unionByName, levels)
     if with_above:
         cols, done = [*cols, "above"], done.withColumn("above", F.lit(None).cast("array<string>"))
+    if with_ring:
+        cols, done = [*cols, "ring"], done.withColumn("ring", F.lit(False))
     if reached >= n_links:
         return done.select(cols)
     # a link is unreached when no frontier that was expanded held its parent; the last level was not expanded
@@ -80,12 +83,13 @@ def hierarchy(links: DataFrame, with_path: bool = False, tail_share: float = 0.1
     chained, circular = _double(rest, with_path)
     near = chained.join(done.select(F.col("node_id").alias("anc"), "root_id", F.col("depth").alias("_d"), *([F.col("path").alias("_p")] if with_path else [])), "anc")
     tail = near.select(F.col("child").alias("node_id"), "root_id", (F.col("_d") + F.col("hops")).cast("int").alias("depth"), *([F.concat("_p", "seg").alias("path")] if with_path else []))
-    out = done.unionByName(tail, allowMissingColumns=True)
+    out = done.unionByName(tail.withColumn("ring", F.lit(False)) if with_ring else tail, allowMissingColumns=True)
     if circular is not None:
         rings = _circles(circular, rest)
         if with_above:
-            rings = _above(materialize(rings, "rings"), rest)
-        out = out.unionByName(rings.select("node_id", "root_id", F.lit(-1).alias("depth"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else []), *(["above"] if with_above else [])))
+            rings = materialize(rings, "rings")
+            rings = _above(rings, rest).join(rings.select("node_id", "ring"), "node_id")
+        out = out.unionByName(rings.select("node_id", "root_id", F.lit(-1).alias("depth"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else []), *(["above"] if with_above else []), *(["ring"] if with_ring else [])))
     return out.select(cols)
 
 
@@ -118,7 +122,7 @@ def _double(rest: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame | No
 
 
 def _circles(far: DataFrame, rest: DataFrame) -> DataFrame:
-    """(node_id, root_id) of rows that never leave a circle; ``far`` maps each of them many steps ahead.
+    """(node_id, root_id, ring) of rows that never leave a circle; ``far`` maps each of them many steps ahead.
 
     The images of ever longer jumps shrink to exactly the ids on circles; the smallest id of each circle then spreads
     round it by doubling, and ids beneath take that of the circle id they jump to.
@@ -144,7 +148,8 @@ def _circles(far: DataFrame, rest: DataFrame) -> DataFrame:
         if ring.filter("moved").isEmpty():
             break
         ring = ring.drop("moved")
-    return far.join(ring.select(F.col("child").alias("anc"), "low"), "anc").select(F.col("child").alias("node_id"), F.col("low").alias("root_id"))
+    found = far.join(ring.select(F.col("child").alias("anc"), "low"), "anc").select(F.col("child").alias("node_id"), F.col("low").alias("root_id"))
+    return found.join(ring.select(F.col("child").alias("node_id"), F.lit(True).alias("ring")), "node_id", "left").select("node_id", "root_id", F.coalesce("ring", F.lit(False)).alias("ring"))
 
 
 def _above(rings: DataFrame, rest: DataFrame) -> DataFrame:
@@ -157,7 +162,7 @@ def _above(rings: DataFrame, rest: DataFrame) -> DataFrame:
     cut = ups.filter(F.col("node_id") == F.col("root_id")).select("root_id", F.col("parent").alias("node_id"))
     down, _ = _double(ups.filter(F.col("node_id") != F.col("root_id")).select(F.col("node_id").alias("child"), "parent"), True)
     down = down.select(F.col("child").alias("node_id"), F.col("anc").alias("root_id"), F.concat(F.array("anc"), "seg").alias("_p"))
-    tops = rings.filter(F.col("node_id") == F.col("root_id")).withColumn("_p", F.array("node_id"))
+    tops = rings.filter(F.col("node_id") == F.col("root_id")).select("node_id", "root_id", F.array("node_id").alias("_p"))
     paths = materialize(down.unionByName(tops), "cut")
     circles = paths.join(cut, ["root_id", "node_id"]).select("root_id", F.col("_p").alias("_c"))
     # a path goes along the circle from its top, so what it shares with it is its beginning
@@ -178,7 +183,22 @@ def descendants(tree: DataFrame) -> DataFrame:
     ).select("ancestor_id", "node_id", (F.col("_n") - 1 - F.col("_at")).alias("distance"))
 
 
-def subtree_sizes(tree: DataFrame) -> DataFrame:
-    """(node_id, n_descendants): the number of nodes beneath each node, at circles as in ``descendants``."""
-    below = descendants(tree).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n"))
-    return tree.select("node_id").join(below, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("n_descendants"))
+def subtree_sizes(links: DataFrame) -> DataFrame:
+    """(node_id, n_descendants) of every id of ``links(child, parent)``: the number of nodes beneath it, as in ``descendants``.
+
+    No pair is made: sums go up by doubling. After k rounds each id holds the number of nodes less than 2^k steps
+    beneath it and a pointer 2^k steps up, so as many rounds as the logarithm of the depth do. Circles are cut out of the
+    links first; an id on one has everything that is on it or hangs from it beneath itself.
+    """
+    tree = materialize(hierarchy(links, with_ring=True), "tree")
+    off = links.join(tree.filter("ring").select(F.col("node_id").alias("child")), "child", "left_anti")
+    state = tree.join(off.select(F.col("child").alias("node_id"), F.col("parent").alias("anc")), "node_id", "left").select("node_id", "anc", F.lit(1).cast("bigint").alias("n"))
+    state = materialize(state, "sizes")
+    while not state.filter("anc IS NOT NULL").isEmpty():
+        below = state.filter("anc IS NOT NULL").groupBy(F.col("anc").alias("node_id")).agg(F.sum("n").alias("more"))
+        up = state.select(F.col("node_id").alias("anc"), F.col("anc").alias("further"))
+        step = state.join(up, "anc", "left").join(below, "node_id", "left").select("node_id", F.col("further").alias("anc"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        state = materialize(step, "sizes")
+    whole = tree.filter("depth < 0").groupBy("root_id").agg(F.count(F.lit(1)).alias("all"))
+    rings = tree.filter("ring").join(whole, "root_id").select("node_id", "all")
+    return state.join(rings, "node_id", "left").select("node_id", (F.coalesce("all", "n") - 1).alias("n_descendants"))

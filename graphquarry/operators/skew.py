@@ -8,6 +8,7 @@ from math import ceil, log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from ..sources.tables import clean_kind
 
 #: name -> (state from rows, merge of states); every state is one value of fixed size
@@ -20,7 +21,11 @@ STATES = {
 }
 
 
-def tree_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str | None]], fan_in: int = 16) -> DataFrame:
+#: States that one merge takes in. Fourteen chunks already make two rounds.
+FAN_IN = 8
+
+
+def tree_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str | None]], fan_in: int = FAN_IN) -> DataFrame:
     """Aggregate ``df`` per ``keys`` by a tree of merges: ``aggs`` maps an output column to (state, input column).
 
     Each scan split is a chunk of fixed size. Its rows are combined within the task that reads them, then the states
@@ -40,31 +45,34 @@ def tree_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, st
     return out.select(*keys, *[F.hll_sketch_estimate(n).alias(n) if s == "distinct" else F.col(n) for n, (s, _) in aggs.items()])
 
 
-def per_target_kind(edges: DataFrame, fan_in: int = 16) -> DataFrame:
-    """Per (target, kind): rows, distinct sources (estimate), first and last edge_id, resolved rows, sum of confidence.
+def per_target_kind(edges: DataFrame, fan_in: int = FAN_IN, exact: bool = True) -> DataFrame:
+    """Per (target, kind): rows, distinct sources, first and last edge_id, resolved rows, sum of confidence.
 
-    Kind in lower case without the white space around it; null targets or kinds are groups like any other.
+    Kind in lower case without the white space around it; null targets or kinds are groups like any other. Distinct
+    sources are counted over the distinct (target, kind, source), which no hot key holds together, unless ``exact`` is
+    false: then they are estimated in the tree itself and the edges are read once. Null sources don't count.
     """
     rows = edges.select(
         "target", clean_kind(F.col("kind")).alias("kind"), "source", "edge_id",
         F.col("metadata.resolved_by").isNotNull().cast("bigint").alias("res"),
         F.round(F.col("metadata.confidence") * 1_000_000).cast("bigint").alias("conf"),
     )
-    return tree_aggregate(
-        rows, ["target", "kind"],
-        {"n": ("count", None), "n_sources": ("distinct", "source"), "first_edge": ("min", "edge_id"),
-         "last_edge": ("max", "edge_id"), "n_resolved": ("sum", "res"), "confidence_ppm": ("sum", "conf")}, fan_in,
-    )
+    aggs = {"n": ("count", None), "first_edge": ("min", "edge_id"), "last_edge": ("max", "edge_id"), "n_resolved": ("sum", "res"), "confidence_ppm": ("sum", "conf")}
+    if not exact:
+        return tree_aggregate(rows, ["target", "kind"], aggs | {"n_sources": ("distinct", "source")}, fan_in)
+    tree = tree_aggregate(rows, ["target", "kind"], aggs, fan_in)
+    ends = rows.select(F.col("target").alias("_t"), F.col("kind").alias("_k"), "source").distinct().groupBy("_t", "_k").agg(F.count("source").alias("n_sources"))
+    return tree.join(ends, F.col("target").eqNullSafe(F.col("_t")) & F.col("kind").eqNullSafe(F.col("_k"))).drop("_t", "_k")
 
 
-def heavy_keys(edges: DataFrame, share: float = 0.01, fan_in: int = 16) -> DataFrame:
+def heavy_keys(edges: DataFrame, share: float = 0.01, fan_in: int = FAN_IN) -> DataFrame:
     """(target, kind, n) of the keys that hold at least ``share`` of all rows; at most 1 / ``share`` of them.
 
-    The total counts rows of every kind, null ones included.
+    The total counts rows of every kind, null ones included; it is the sum of the counts, which are written once.
     """
     rows = edges.select("target", clean_kind(F.col("kind")).alias("kind"))
-    counts = tree_aggregate(rows, ["target", "kind"], {"n": ("count", None)}, fan_in)
-    total = edges.agg(F.count(F.lit(1)).alias("total"))
+    counts = materialize(tree_aggregate(rows, ["target", "kind"], {"n": ("count", None)}, fan_in), "counts")
+    total = counts.agg(F.sum("n").alias("total"))
     # the total is one row
     # whole numbers on both sides: a product with 0.01 could fall to either side of an exact hundredth
     part, whole = Fraction(share).limit_denominator(1_000_000).as_integer_ratio()

@@ -21,6 +21,13 @@ rings AS (SELECT w.id, w.at FROM w JOIN u ON u.child = w.at),
 oncirc AS (SELECT DISTINCT u.child AS id FROM u JOIN w ON w.id = u.parent AND w.at = u.child),
 c AS (SELECT w.id, min(w.at) AS root FROM w JOIN oncirc o ON o.id = w.at GROUP BY w.id)
 """
+#: Pairs of an ancestor and what is beneath it; y walks up from ids at circles until it meets an id again.
+_PAIRS = """
+, y AS (SELECT child AS id, parent AS up, 1 AS d, [child] AS seen FROM u
+        UNION ALL SELECT y.id, u.parent, y.d + 1, list_append(y.seen, y.up) FROM y JOIN u ON u.child = y.up WHERE NOT list_contains(y.seen, y.up)),
+pairs AS (SELECT path[i] AS ancestor_id, id AS node_id, (d + 1 - i)::INT AS distance FROM (SELECT *, unnest(range(1, d + 1)) AS i FROM t)
+          UNION ALL SELECT up, id, d::INT FROM y WHERE NOT list_contains(seen, up))
+"""
 
 
 def _tree(spark, d, with_path=False, with_above=None):
@@ -37,13 +44,13 @@ def p2_paths(spark, d):
 
 
 def p2_descendants(spark, d):
-    """Every pair of an ancestor and a node beneath it, circles included; the SQL knows only those that have a root."""
+    """Every pair of an ancestor and a node beneath it, circles included."""
     return descendants(_tree(spark, d, True))
 
 
 def p2_subtrees(spark, d):
-    """The number of nodes beneath each node; the SQL gives 0 at circles."""
-    return subtree_sizes(_tree(spark, d, True))
+    """The number of nodes beneath each node, circles included."""
+    return subtree_sizes(parent_links(table(spark, d, "edges")))
 
 
 def p5_found(spark, d):
@@ -51,19 +58,19 @@ def p5_found(spark, d):
 
 
 def p5_per_key(spark, d):
-    """The results of every (target, kind); the estimate of distinct sources is left to tests."""
-    return per_target_kind(table(spark, d, "edges")).drop("n_sources")
+    """The results of every (target, kind)."""
+    return per_target_kind(table(spark, d, "edges"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_subtrees, p5_found, p5_per_key)}
 SQL = {
     "p2_found": _TREE + "SELECT id AS node_id, root AS root_id, d::INT AS depth FROM t UNION ALL SELECT id, root, -1 FROM c",
     "p2_paths": _TREE + "SELECT id AS node_id, root AS root_id, d::INT AS depth, array_to_string(path, '/') AS path FROM t UNION ALL SELECT id, root, -1, NULL FROM c",
-    "p2_descendants": _TREE + "SELECT path[i] AS ancestor_id, id AS node_id, (d + 1 - i)::INT AS distance FROM (SELECT *, unnest(range(1, d + 1)) AS i FROM t)",
-    "p2_subtrees": _TREE + ", b AS (SELECT path[i] AS a, count(*) AS n FROM (SELECT *, unnest(range(1, d + 1)) AS i FROM t) GROUP BY 1) "
+    "p2_descendants": _TREE + _PAIRS + "SELECT * FROM pairs",
+    "p2_subtrees": _TREE + _PAIRS + ", b AS (SELECT ancestor_id AS a, count(*) AS n FROM pairs GROUP BY 1) "
     "SELECT x.id AS node_id, coalesce(n, 0)::BIGINT AS n_descendants FROM (SELECT id FROM t UNION ALL SELECT id FROM c) x LEFT JOIN b ON b.a = x.id",
     "p5_found": f"SELECT target, {_KIND} AS kind FROM edges GROUP BY 1, 2 HAVING count(*) >= 0.01 * (SELECT count(*) FROM edges)",
-    "p5_per_key": f"""SELECT target, {_KIND} AS kind, count(*) AS n, min(edge_id) AS first_edge, max(edge_id) AS last_edge,
+    "p5_per_key": f"""SELECT target, {_KIND} AS kind, count(*) AS n, count(DISTINCT source) AS n_sources, min(edge_id) AS first_edge, max(edge_id) AS last_edge,
         sum((metadata.resolved_by IS NOT NULL)::BIGINT)::BIGINT AS n_resolved,
         sum(round(metadata.confidence * 1000000)::BIGINT)::BIGINT AS confidence_ppm FROM edges GROUP BY 1, 2""",
 }

@@ -50,6 +50,12 @@ def test_against_brute_force(spark, name):
     assert got(hierarchy(links(spark, p), with_path=True)) == brute(p)
 
 
+def test_frontier_joins_to_the_end(spark):
+    """The choice of method changes no row."""
+    p = {k: v for k, v in shape("mixed").items() if k < "c12" or k > "c99"}
+    assert got(hierarchy(links(spark, p), with_path=True, tail_share=0.0)) == brute(p)
+
+
 def test_hot_parents_are_salted(spark):
     p = shape("flat") | {"y": "x7", "hub": "top"}
     assert got(hierarchy(links(spark, p), with_path=True, hot_rows=50)) == brute(p)
@@ -58,6 +64,7 @@ def test_hot_parents_are_salted(spark):
 def test_empty(spark):
     df = hierarchy(spark.createDataFrame([], "child string, parent string"))
     assert df.columns == ["node_id", "root_id", "depth"] and df.count() == 0
+    assert subtree_sizes(spark.createDataFrame([], "child string, parent string")).count() == 0
 
 
 def test_links_of_dirty_edges(spark):
@@ -69,7 +76,7 @@ def test_links_of_dirty_edges(spark):
 def test_descendants(spark):
     tree = hierarchy(links(spark, {"b": "a", "c": "b", "d": "b"}), with_path=True)
     assert {tuple(r) for r in descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
-    assert {tuple(r) for r in subtree_sizes(tree).collect()} == {("a", 3), ("b", 2), ("c", 0), ("d", 0)}
+    assert {tuple(r) for r in subtree_sizes(links(spark, {"b": "a", "c": "b", "d": "b"})).collect()} == {("a", 3), ("b", 2), ("c", 0), ("d", 0)}
 
 
 def beneath(parent):
@@ -91,4 +98,4 @@ def test_descendants_at_circles(spark, name):
     rows = [tuple(r) for r in descendants(tree).collect()]
     assert len(rows) == len(want) and {(a, b): n for a, b, n in rows} == want
     sizes = {x: sum(a == x for a, _ in want) for x in {*p, *p.values()}}
-    assert {r[0]: r[1] for r in subtree_sizes(tree).collect()} == sizes
+    assert {r[0]: r[1] for r in subtree_sizes(links(spark, p)).collect()} == sizes

@@ -25,7 +25,9 @@ def test_per_target_kind(spark):
     mine = [r for r in rows if r[2] == "hot" and r[3] and r[3].strip().lower() == "calls"]
     hot = got["hot", "calls"]
     assert (hot["n"], hot["first_edge"], hot["last_edge"]) == (len(mine), min(r[0] for r in mine), max(r[0] for r in mine))
-    assert hot["n_resolved"] == sum(r[4] is not None for r in mine) and abs(hot["n_sources"] - len({r[1] for r in mine})) <= 5
+    assert hot["n_resolved"] == sum(r[4] is not None for r in mine) and hot["n_sources"] == len({r[1] for r in mine})
+    about = {(r["target"], r["kind"]): r for r in per_target_kind(df, 3, exact=False).collect()}
+    assert set(about) == set(got) and abs(about["hot", "calls"]["n_sources"] - hot["n_sources"]) <= 5
     assert got[None, None]["n"] == 1 and ("hot", None) in got
 
 
