@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import context as C
 from .operators import extract as X
+from .operators import frameworks as W
 from .operators import mutate as M
 from .operators import resolve as R
 from .operators import search as S
@@ -40,7 +41,9 @@ class CodeIndex:
         mappings = R.import_mappings(sources)
         refs = materialize(refs, "refs")
         paths = sources.select("path")
-        found = materialize(R.resolve(refs, nodes, None, mappings, paths), "resolved")
+        # as many rows as there are frameworks
+        frameworks = [r["framework"] for r in W.detect(sources).collect()]
+        found = materialize(R.resolve(refs, nodes, None, mappings, paths, frameworks), "resolved")
         # imports lead to the file that they mean
         by_path = refs.filter("reference_kind = 'imports'").join(nodes.filter("kind = 'file'").select(F.col("id").alias("from_node_id"), F.col("file_path").alias("path"), "language"), "from_node_id")
         wanted = by_path.select("ref_id", "path", "language", F.when(F.col("language") == "python", _python_path("reference_name")).otherwise(F.col("reference_name")).alias("source"))

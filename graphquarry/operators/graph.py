@@ -100,7 +100,7 @@ class Graph:
     def metrics(self) -> DataFrame:
         """(id, incoming, outgoing, calls, callers, children) of every node, zeros where it has no edge.
 
-        One pass over the edges in both directions; counts of hot targets merge by a tree.
+        One pass over the edges in both directions; counts are summed before the exchange, so hot targets are few rows.
         """
         ends = self.edges.select(F.explode(F.array(
             F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.lit(0).alias("c"), (F.col("kind") == "calls").cast("int").alias("r"), F.lit(0).alias("h")),

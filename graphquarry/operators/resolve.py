@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dirname, normalized_path
+from ..sources.scratch import materialize
+from .frameworks import match as match_framework
 
 # Names of the languages themselves, which no node stands for.
 JS_BUILTINS = ["console", "window", "document", "global", "process", "Promise", "Array", "Object", "String", "Number", "Boolean", "Date", "Math", "JSON", "RegExp", "Error", "Map", "Set", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "fetch", "require", "module", "exports", "__dirname", "__filename"]
@@ -57,16 +59,29 @@ def match_exact(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     The best has the most points: same file 100 and up to 20 for nearness, same language 50, function or method for a
     call 25, exported 10; ties go to the smaller id.
     """
-    c = nodes.select(F.col("id").alias("target"), F.col("name").alias("reference_name"), "file_path", F.col("language").alias("c_language"), "kind", "is_exported", "start_line")
-    both = refs.join(c, "reference_name")
-    same = F.coalesce(F.col("file_path") == F.col("from_file"), F.lit(False))
+    c = nodes.select(F.col("id").alias("target"), F.col("name").alias("reference_name"), "file_path", F.col("language").alias("c_language"), "kind", "is_exported", "start_line").filter("reference_name IS NOT NULL")
+    exported = F.when(F.col("is_exported"), 10.0).otherwise(0.0)
+    called = exported + F.when(F.col("kind").isin("function", "method"), 25.0).otherwise(0.0)
+    call = F.coalesce(F.col("reference_kind") == "calls", F.lit(False))
+
+    def least(points: Column):
+        return F.min(F.struct((-points).alias("neg"), F.col("target")))
+
+    # beyond the file, points depend on the language and on whether it is a call: the best of each name are few
+    named = c.groupBy("reference_name", "c_language").agg(F.count("*").alias("n"), least(exported).alias("other"), least(called).alias("call"))
+    whole = named.groupBy("reference_name").agg(F.sum("n").alias("n"), F.min("other").alias("other"), F.min("call").alias("call"))
+    r = refs.select("ref_id", "reference_name", "from_file", "language", "line", call.alias("is_call"))
+    pick = F.when(F.col("is_call"), F.col("call")).otherwise(F.col("other"))
+    anywhere = r.join(whole, "reference_name").select("ref_id", "n", pick.alias("m"))
+    alike = r.join(named.drop("n"), (named["reference_name"] == r["reference_name"]) & (F.col("c_language") == F.col("language")))
+    alike = alike.select("ref_id", F.lit(None).cast("bigint").alias("n"), F.struct((pick["neg"] - 50).alias("neg"), pick["target"].alias("target")).alias("m"))
+    near = r.join(c, (c["reference_name"] == r["reference_name"]) & (F.col("file_path") == F.col("from_file")))
     points = (
-        F.when(same, 100 + F.greatest(F.lit(0.0), 20 - F.abs(F.col("start_line") - F.coalesce("line", F.lit(0))) / 10)).otherwise(0.0)
-        + F.when(F.col("c_language") == F.col("language"), 50).otherwise(0)
-        + F.when((F.col("reference_kind") == "calls") & F.col("kind").isin("function", "method"), 25).otherwise(0)
-        + F.when(F.col("is_exported"), 10).otherwise(0)
-    )
-    best = both.groupBy("ref_id").agg(F.count("*").alias("n"), F.min(F.struct((-F.coalesce(points, F.lit(0.0))).alias("neg"), F.col("target"))).alias("m"))
+        100 + F.greatest(F.lit(0.0), 20 - F.abs(F.col("start_line") - F.coalesce("line", F.lit(0))) / 10)
+        + F.when(F.col("c_language") == F.col("language"), 50).otherwise(0) + F.when(F.col("is_call"), called).otherwise(exported)
+    )
+    near = near.select("ref_id", F.lit(None).cast("bigint").alias("n"), F.struct((-F.coalesce(points, F.lit(0.0))).alias("neg"), "target").alias("m"))
+    best = anywhere.unionByName(alike).unionByName(near).groupBy("ref_id").agg(F.max("n").alias("n"), F.min("m").alias("m"))
     return best.select("ref_id", "m.target", F.when(F.col("n") == 1, 0.9).otherwise(0.7).alias("confidence"), F.lit("exact-match").alias("resolved_by"))
 
 
@@ -90,19 +105,16 @@ def match_method(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return hit.groupBy("ref_id").agg(F.min("target").alias("target")).select("ref_id", "target", F.lit(0.85).alias("confidence"), F.lit("qualified-name").alias("resolved_by"))
 
 
-def match_fuzzy(refs: DataFrame, nodes: DataFrame, prefix: int = 3) -> DataFrame:
+def match_fuzzy(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The only function, method or class equal but for letter case (0.5), else the only one that begins so (0.3).
 
-    Names meet on their first ``prefix`` letters, so no reference meets all names; shorter references match no prefix.
+    Every beginning of a name is counted; those of one name only are what references are looked up in, so none meets many.
     """
     c = nodes.filter(F.col("kind").isin("function", "method", "class")).select(F.col("id").alias("target"), F.lower("name").alias("low"))
     r = refs.select("ref_id", F.lower("reference_name").alias("want"))
     one = c.groupBy("low").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
     a = r.join(one, F.col("want") == F.col("low")).select("ref_id", "target", F.lit(0.5).alias("confidence"))
-    # distinct wanted prefixes only: many references share one
-    words = r.select("want").distinct().filter(F.length("want") >= prefix)
-    key = lambda x: F.substring(x, 1, prefix)
-    begun = words.join(c, key("want") == key("low")).filter(F.startswith("low", "want"))
+    begun = c.filter("low <> ''").select("target", F.explode(F.transform(F.sequence(F.lit(1), F.length("low")), lambda k: F.substr(F.col("low"), F.lit(1), k))).alias("want"))
     begun = begun.groupBy("want").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
     b = r.join(begun, "want").select("ref_id", "target", F.lit(0.3).alias("confidence"))
     return _best(a.unionByName(b)).withColumn("resolved_by", F.lit("fuzzy"))
@@ -208,20 +220,28 @@ def match_import(refs: DataFrame, nodes: DataFrame, mappings: DataFrame, files:
 # --- cascade ------------------------------------------------------------------------------------------------------
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, extra: list[DataFrame] | None = None, mappings: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+def resolve(
+    refs: DataFrame, nodes: DataFrame, extra: list[DataFrame] | None = None, mappings: DataFrame | None = None, files: DataFrame | None = None,
+    frameworks: list[str] | None = None,
+) -> DataFrame:
     """(ref_id, target, confidence, resolved_by): the first strategy that finds a node wins.
 
-    Order: ``extra`` results (rules of frameworks), imports, qualified names, methods, exact names, fuzzy. References to
-    builtin names resolve to nothing.
+    Order: ``extra`` results, the rules of the ``frameworks`` in use, imports, qualified names, methods, exact names, fuzzy. Each
+    strategy sees only the references that those before have left. References to builtin names resolve to nothing.
     """
-    r = _refs(refs, nodes)
-    found = list(extra or [])
+    left = materialize(_refs(refs, nodes), "refs")
+    steps = [lambda r, f=f: f.join(r.select("ref_id"), "ref_id", "left_semi") for f in extra or []]
+    if frameworks:
+        steps.append(lambda r: match_framework(r, nodes, frameworks))
     if mappings is not None and files is not None:
-        found.append(match_import(r, nodes, mappings, files))
-    found += [match_qualified(r, nodes), match_method(r, nodes), match_exact(r, nodes), match_fuzzy(r, nodes)]
-    ranked = reduce(DataFrame.unionByName, [f.select("ref_id", "target", "confidence", "resolved_by", F.lit(k).alias("k")) for k, f in enumerate(found)])
-    w = Window.partitionBy("ref_id").orderBy("k", "target")
-    return ranked.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("ref_id", "target", "confidence", "resolved_by")
+        steps.append(lambda r: match_import(r, nodes, mappings, files))
+    steps += [lambda r, m=m: m(r, nodes) for m in (match_qualified, match_method, match_exact, match_fuzzy)]
+    found = []
+    for step in steps:
+        hits = step(left).groupBy("ref_id").agg(F.min_by(F.struct("target", "confidence", "resolved_by"), "target").alias("m")).select("ref_id", "m.*")
+        found.append(materialize(hits, "resolved"))
+        left = materialize(left.join(found[-1].select("ref_id"), "ref_id", "left_anti"), "refs")
+    return reduce(DataFrame.unionByName, found)
 
 
 def resolved_edges(refs: DataFrame, resolved: DataFrame) -> DataFrame:

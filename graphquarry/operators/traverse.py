@@ -192,7 +192,8 @@ def cyclic_files(graph: Graph, max_length: int | None = None) -> DataFrame:
         size = n
     # the smallest file that reaches, and that is reached from, each file, within the same candidate component
     comp = components(links)
-    return comp.groupBy("cycle_id").agg(F.collect_list("file").alias("files")).select(F.explode("files").alias("file"), "cycle_id", F.size("files").cast("bigint").alias("cycle_size"))
+    sizes = comp.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("cycle_size"))
+    return comp.join(sizes, "cycle_id").select("file", "cycle_id", "cycle_size")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -237,29 +237,38 @@ def usages(spark, d):
     return g(spark, d).usages()
 
 
-@q(_walk("SELECT id FROM n WHERE kind = 'class'", "source", "target", "AND e.kind IN ('extends','implements')", 4).replace("m AS (", "m1 AS (")
-   + """, w2 AS (SELECT id AS seed, id, 0 AS d FROM s UNION SELECT w2.seed, e.source, w2.d + 1 FROM w2 JOIN e ON e.target = w2.id AND e.kind IN ('extends','implements') JOIN n x ON x.id = e.source WHERE w2.d < 4)
-SELECT seed, id, CASE WHEN depth = 0 THEN 'focal' ELSE 'ancestor' END AS role, depth FROM m1 UNION ALL SELECT seed, id, 'descendant', min(d)::INT FROM w2 GROUP BY 1, 2 HAVING min(d) > 0""")
+def _closure(name: str, a: str, b: str, kinds: str) -> str:
+    """SQL of an unbounded walk from s: (seed, id, d), each id once with its least depth."""
+    return (
+        f"{name}(seed, id, d) USING KEY (seed, id) AS (SELECT id, id, 0 FROM s UNION SELECT {name}.seed, e.{b}, {name}.d + 1 FROM {name} JOIN e ON e.{a} = {name}.id {kinds} "
+        f"JOIN n x ON x.id = e.{b} WHERE NOT EXISTS (SELECT 1 FROM recurring.{name} k WHERE k.seed = {name}.seed AND k.id = e.{b}))"
+    )
+
+
+_TYPES = "AND e.kind IN ('extends','implements')"
+
+
+@q(_WITH + ", s AS (SELECT id FROM n WHERE kind = 'class'), " + _closure("up", "source", "target", _TYPES) + ", " + _closure("down", "target", "source", _TYPES)
+   + " SELECT seed, id, CASE WHEN d = 0 THEN 'focal' ELSE 'ancestor' END AS role, d::INT AS depth FROM up UNION ALL SELECT seed, id, 'descendant', d::INT FROM down WHERE d > 0")
 def type_hierarchy(spark, d):
     graph = g(spark, d)
-    return T.type_hierarchy(graph, graph.nodes_of_kind("class"), 4)
+    return T.type_hierarchy(graph, graph.nodes_of_kind("class"))
 
 
-@q(_walk("SELECT id FROM n WHERE kind = 'namespace'", "source", "target", "", 4)
-   + ", t AS (SELECT id FROM n WHERE kind = 'enum') SELECT seed AS from_id, id AS to_id, depth AS hops FROM m WHERE id IN (SELECT id FROM t)")
+@q(_WITH + ", s AS (SELECT id FROM n WHERE kind = 'namespace'), " + _closure("w", "source", "target", "")
+   + " SELECT seed AS from_id, id AS to_id, d::INT AS hops FROM w WHERE id IN (SELECT id FROM n WHERE kind = 'enum')")
 def path_lengths(spark, d):
     graph = g(spark, d)
-    tree = T.reach(graph, graph.nodes_of_kind("namespace"), 4)
+    tree = T.reach(graph, graph.nodes_of_kind("namespace"))
     return tree.join(graph.nodes_of_kind("enum").select("id"), "id", "left_semi").select(F.col("seed").alias("from_id"), F.col("id").alias("to_id"), F.col("depth").alias("hops"))
 
 
 @q()
 def path_nodes(spark, d):
-    """The nodes of a shortest path between each component and each builtin node it reaches within three steps."""
+    """The nodes of a shortest path between each component and each builtin node it reaches."""
     graph = g(spark, d)
     a = graph.nodes_of_kind("component").select(F.col("id").alias("from_id"))
-    near = T.reach(graph, a.select(F.col("from_id").alias("id")), 3).select(F.col("seed").alias("from_id"), F.col("id").alias("to_id"))
-    return T.paths(graph, near.join(builtins(spark, d).withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id"), max_depth=3)
+    return T.paths(graph, a.crossJoin(F.broadcast(builtins(spark, d).withColumnRenamed("id", "to_id"))))  # 57 shared symbols
 
 
 @q(_walk("SELECT id FROM n WHERE kind = 'interface'", "source", "target", "", 2, "(SELECT id FROM n WHERE kind IN ('function','method','class'))") + "SELECT * FROM m")
@@ -293,16 +302,20 @@ def ancestors(spark, d):
     return T.ancestors(graph, graph.nodes_of_kind("method"))
 
 
-@q(_WITH + """, s AS (SELECT id FROM n WHERE kind = 'interface')
+@q(_WITH + """, s AS (SELECT id FROM n WHERE kind = 'interface'), one AS (SELECT target, min_by(source, edge_id) AS source FROM e WHERE kind = 'contains' GROUP BY target),
+up(seed, id, d) USING KEY (seed, id) AS (SELECT id, id, 0 FROM s UNION SELECT up.seed, o.source, up.d + 1 FROM up JOIN one o ON o.target = up.id WHERE o.source IN (SELECT id FROM n)
+ AND NOT EXISTS (SELECT 1 FROM recurring.up k WHERE k.seed = up.seed AND k.id = o.source))
 SELECT id AS seed, 'focal' AS section, id, NULL AS edge_kind FROM s UNION ALL
 SELECT source, 'child', target, NULL FROM e WHERE kind = 'contains' AND source IN (SELECT id FROM s) AND target IN (SELECT id FROM n) UNION ALL
 SELECT target, 'incoming', source, kind FROM e WHERE kind <> 'contains' AND target IN (SELECT id FROM s) AND source IN (SELECT id FROM n) UNION ALL
 SELECT source, 'outgoing', target, kind FROM e WHERE kind <> 'contains' AND source IN (SELECT id FROM s) AND target IN (SELECT id FROM n) UNION ALL
-SELECT source, 'type', target, max(kind) FROM e WHERE kind IN ('type_of', 'returns') AND source IN (SELECT id FROM s) AND target IN (SELECT id FROM n) GROUP BY 1, 3""")
+SELECT source, 'type', target, max(kind) FROM e WHERE kind IN ('type_of', 'returns') AND source IN (SELECT id FROM s) AND target IN (SELECT id FROM n) GROUP BY 1, 3 UNION ALL
+SELECT seed, 'ancestor', id, NULL FROM up WHERE d > 0 UNION ALL
+SELECT DISTINCT f.seed, 'import', i.target, NULL FROM (SELECT seed, min_by(up.id, d) AS file FROM up JOIN n ON n.id = up.id WHERE d > 0 AND n.kind = 'file' GROUP BY seed) f
+ JOIN e i ON i.source = f.file AND i.kind = 'imports' AND i.target IN (SELECT id FROM n)""")
 def node_context(spark, d):
     graph = g(spark, d)
-    out = T.context(graph, graph.nodes_of_kind("interface"))
-    return out.filter("section NOT IN ('ancestor', 'import')").select("seed", "section", "id", "edge_kind")
+    return T.context(graph, graph.nodes_of_kind("interface")).select("seed", "section", "id", "edge_kind")
 
 
 @q(_WITH + "SELECT DISTINCT a.file_path AS file, b.file_path AS depends_on FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE e.kind = 'imports' AND a.kind = 'file' AND a.file_path <> b.file_path")
@@ -504,7 +517,7 @@ def resolve_qualified(spark, d):
 
 
 @q(_WITH + """, c AS (SELECT id, lower(name) AS low FROM n WHERE kind IN ('function','method','class')), r AS (SELECT id AS ref_id, lower(substr(name, 1, greatest(length(name) - 1, 1))) AS want FROM n WHERE kind = 'function'),
-q AS (SELECT low, min(id) AS t FROM c GROUP BY low HAVING count(*) = 1), s AS (SELECT want, min(id) AS t FROM (SELECT DISTINCT want FROM r WHERE length(want) >= 3) JOIN c ON starts_with(c.low, want) GROUP BY want HAVING count(*) = 1)
+q AS (SELECT low, min(id) AS t FROM c GROUP BY low HAVING count(*) = 1), s AS (SELECT want, min(id) AS t FROM (SELECT DISTINCT want FROM r) JOIN c ON starts_with(c.low, want) GROUP BY want HAVING count(*) = 1)
 SELECT ref_id, coalesce(q.t, s.t) AS target, CASE WHEN q.t IS NOT NULL THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence FROM r LEFT JOIN q ON q.low = r.want LEFT JOIN s ON s.want = r.want WHERE q.t IS NOT NULL OR s.t IS NOT NULL""")
 def resolve_fuzzy(spark, d):
     graph = g(spark, d)
@@ -541,18 +554,19 @@ def import_mappings(spark, d):
 
 @q(_WITH + """, x AS (SELECT DISTINCT item_id AS case_id, unnest(expected_symbols) AS symbol FROM eval_items), y AS (SELECT DISTINCT i.item_id AS case_id, n.name AS symbol FROM eval_items i JOIN n ON n.name = i.target_symbol OR list_contains(i.expected_symbols, n.name)),
 z AS (SELECT case_id, count(x.symbol) AS a, count(y.symbol) AS b, count_if(x.symbol IS NOT NULL AND y.symbol IS NOT NULL) AS h FROM x FULL JOIN y USING (case_id, symbol) WHERE case_id IN (SELECT case_id FROM x) GROUP BY case_id)
-SELECT case_id, a AS n_expected, b AS n_retrieved, h AS n_hits, CASE WHEN b > 0 THEN h / b ELSE 0 END::DOUBLE AS precision, CASE WHEN a > 0 THEN h / a ELSE 0 END::DOUBLE AS recall FROM z""")
+SELECT case_id, a AS n_expected, b AS n_retrieved, h AS n_hits, CASE WHEN b > 0 THEN h / b ELSE 0 END::DOUBLE AS precision, CASE WHEN a > 0 THEN h / a ELSE 0 END::DOUBLE AS recall,
+ CASE WHEN h > 0 THEN 2.0 * h / (a + b) ELSE 0 END::DOUBLE AS f1 FROM z""")
 def eval_precision_recall(spark, d):
     items = table(spark, d, "eval_items")
     expected = items.select(F.col("item_id").alias("case_id"), F.explode("expected_symbols").alias("symbol"))
     wanted = expected.union(items.select(F.col("item_id").alias("case_id"), F.col("target_symbol").alias("symbol")))
     found = wanted.join(g(spark, d).nodes.select(F.col("name").alias("symbol")).distinct(), "symbol").select("case_id", "symbol")
-    return E.evaluate(expected, found).drop("f1")
+    return E.evaluate(expected, found)
 
 
-@q("SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE ceil(len(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) * 1.3) END::INT AS tokens FROM documents WHERE lang = 'de'")
+@q("SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE ceil(len(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) * 1.3) END::INT AS tokens FROM documents")
 def token_estimates(spark, d):
-    """The estimate of every document, whatever its language; the SQL gives only those in German."""
+    """The estimate of every document, whatever its language."""
     return table(spark, d, "documents").select("doc_id", X.token_estimate("text").alias("tokens"))
 
 

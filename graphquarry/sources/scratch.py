@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a fresh local folder."""
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, a fresh local folder, in a local session only."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("graphquarry.scratch.dir", None)
         if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="graphquarry-")
             spark.conf.set("graphquarry.scratch.dir", at)
     return at.rstrip("/")

@@ -202,3 +202,32 @@ def test_long_comments_are_docstrings():
     for doc in ("/**\n" + " * Keeps the order of rows.\n" * 300 + " */\n", "// Keeps the order of rows.\n" * 300):
         o = EX.extract_text("a.js", 'const a = "src/*.js";\n' + doc + "function sortRows(a) {\n  return a;\n}\n")
         assert [n[10].count("Keeps the order") for n in o.nodes if n[2] == "sortRows"] == [300]
+
+
+def test_short_references_match_beginnings(spark):
+    from graphquarry.operators import resolve as R
+
+    nodes = spark.createDataFrame([("1", "function", "geAll"), ("2", "function", "x"), ("3", "class", "Xy"), ("4", "function", ""), ("5", "function", None)], "id string, kind string, name string")
+    refs = spark.createDataFrame([(1, "ge"), (2, "x"), (3, "XY"), (4, ""), (5, None), (6, "g")], "ref_id bigint, reference_name string")
+    got = {r["ref_id"]: (r["target"], r["confidence"]) for r in R.match_fuzzy(refs, nodes).collect() if r["ref_id"] != 4}
+    assert got == {1: ("1", 0.3), 2: ("2", 0.5), 3: ("3", 0.5), 6: ("1", 0.3)}
+
+
+def test_exact_ranks_the_few(spark):
+    """The best of a name by file, language, kind and export, whatever number of nodes has the name."""
+    from graphquarry.operators import resolve as R
+
+    rows = [("a", "class", "f", "x.py", "python", True, 5), ("b", "function", "f", "y.py", "python", False, 5), ("c", "function", "f", "z.ts", "typescript", True, 900), ("d", "function", "f", "z.ts", "typescript", True, 10), ("e", "function", "g", None, None, None, None)]
+    nodes = spark.createDataFrame(rows, "id string, kind string, name string, file_path string, language string, is_exported boolean, start_line int")
+    refs = spark.createDataFrame([(1, "f", "q.py", "python", "calls", 1), (2, "f", "q.py", "python", "instantiates", 1), (3, "f", "z.ts", "typescript", "calls", 12), (4, "f", None, None, "calls", None), (5, "g", "q.py", "python", None, 1)], "ref_id bigint, reference_name string, from_file string, language string, reference_kind string, line int")
+    got = {r["ref_id"]: (r["target"], r["confidence"]) for r in R.match_exact(refs, nodes).collect()}
+    assert got == {1: ("b", 0.7), 2: ("a", 0.7), 3: ("d", 0.7), 4: ("c", 0.7), 5: ("e", 0.9)}
+
+
+def test_frameworks_go_first(spark):
+    from graphquarry.operators import resolve as R
+
+    nodes = spark.createDataFrame([("1", "function", "main", "main", "src/a.ts", "typescript", True, 1), ("2", "function", "useCart", "useCart", "src/hooks/c.ts", "typescript", True, 1), ("3", "function", "useCart", "useCart", "src/a.ts", "typescript", True, 2)], "id string, kind string, name string, qualified_name string, file_path string, language string, is_exported boolean, start_line int")
+    refs = spark.createDataFrame([(1, "1", "useCart", "calls", 2, 0)], "ref_id bigint, from_node_id string, reference_name string, reference_kind string, line int, col int")
+    assert [tuple(r) for r in R.resolve(refs, nodes, frameworks=["react"]).collect()] == [(1, "2", 0.85, "framework")]
+    assert [r["resolved_by"] for r in R.resolve(refs, nodes).collect()] == ["exact-match"]
