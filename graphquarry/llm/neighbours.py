@@ -21,9 +21,11 @@ CELL_ROWS = 6_000
 MOST_CENTROIDS = 512
 #: A vector is posted to the cells whose summed distance exceeds the least by no more than this.
 SLACK = 0.035
+#: Cells that a vector is posted to at most: in a tight cluster all cells are near, and none adds much to those nearest.
+MOST_CELLS = 32
 #: Cells that hold less than this share of CELL_ROWS are closed.
 LEAST_SHARE = 0.1
-#: Rows of one task beyond which a cell's queries are split over several.
+#: Rows of one task beyond which a cell is split into blocks, each block of queries meeting each block of entries.
 MOST_ROWS = 24_000
 ROUNDS, SEED, BLOCK = 12, 11, 256
 _SCALE = 32_767
@@ -80,8 +82,8 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, slack: float, open_cells: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of centroids in the order of their summed distances (multi-sequence), as far as ``slack`` beyond the first.
+def traverse(d1: np.ndarray, d2: np.ndarray, slack: float, open_cells: np.ndarray | None = None, most: int = MOST_CELLS) -> list[tuple[int, int]]:
+    """Pairs of centroids in the order of their summed distances (multi-sequence), as far as ``slack`` beyond the first, ``most`` at most.
 
     Pairs that aren't in ``open_cells`` are passed over, also when looking for the first.
     """
@@ -89,7 +91,7 @@ def traverse(d1: np.ndarray, d2: np.ndarray, slack: float, open_cells: np.ndarra
     a, b = d1[o1].tolist(), d2[o2].tolist()
     end = math.inf
     heap, out, pushed = [(a[0] + b[0], 0, 0)], [], {(0, 0)}
-    while heap:
+    while heap and len(out) < most:
         s, i, j = heappop(heap)
         if s > end:
             break
@@ -106,7 +108,7 @@ def traverse(d1: np.ndarray, d2: np.ndarray, slack: float, open_cells: np.ndarra
 
 
 class MultiIndex:
-    """Codebooks of both halves, and into how many tasks the queries of each cell are split."""
+    """Codebooks of both halves, and into how many blocks the rows of each cell are split."""
 
     def __init__(self, sample: np.ndarray, total: int, cell_rows: int = CELL_ROWS, slack: float = SLACK, most_rows: int = MOST_ROWS):
         self.half, self.slack = max(1, sample.shape[1] // 2), slack
@@ -130,10 +132,10 @@ class MultiIndex:
 
 
 def _posted(rows: DataFrame, index: MultiIndex) -> DataFrame:
-    """(task, cell, split, home, node_id, code): every vector once for each task whose cells it is posted to.
+    """(cell, split, home, entry, node_id, code): every vector once for each task that it takes part in.
 
-    A vector is a query in one task, of its nearest cell (``home``), and an entry in all tasks of the cells it is
-    posted to.
+    A vector is a query (``home``) in its nearest cell and an entry in all cells it is posted to. A cell of m blocks has
+    m * m tasks, one for each block of entries and each of queries, so that no task holds more than a block of each.
     """
     sent = rows.sparkSession.sparkContext.broadcast(index)  # 2 * MOST_CENTROIDS centroids at most
 
@@ -143,25 +145,30 @@ def _posted(rows: DataFrame, index: MultiIndex) -> DataFrame:
             if not b.num_rows:
                 continue
             d1, d2 = ix.distances(_unpack(b.column(1)))
-            take, cell, split, home = [], [], [], []
+            take, cell, split, home, entry = [], [], [], [], []
             names = b.column(0).to_pylist()
             for r in range(b.num_rows):
                 for n, (p, q) in enumerate(traverse(d1[r], d2[r], ix.slack, ix.open)):
                     c = p * ix.k + q
                     m = int(ix.splits[c])
                     mine = _stable(names[r]) % m if m > 1 else 0
-                    for s in range(m):
+                    # an entry of its block in the tasks of all blocks of queries, a query of its block in those of all entries
+                    tasks = [(mine * m + q, n == 0 and q == mine, True) for q in range(m)]
+                    if n == 0:
+                        tasks += [(e * m + mine, True, False) for e in range(m) if e != mine]
+                    for s, h, x in tasks:
                         take.append(r)
                         cell.append(c)
                         split.append(s)
-                        home.append(n == 0 and s == mine)
+                        home.append(h)
+                        entry.append(x)
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(split, pa.int32()), pa.array(home, pa.bool_()), b.column(0).take(at), b.column(1).take(at)],
-                names=["cell", "split", "home", "node_id", "code"],
+                [pa.array(cell, pa.int32()), pa.array(split, pa.int32()), pa.array(home, pa.bool_()), pa.array(entry, pa.bool_()), b.column(0).take(at), b.column(1).take(at)],
+                names=["cell", "split", "home", "entry", "node_id", "code"],
             )
 
-    return rows.select("node_id", "code").mapInArrow(run, "cell int, split int, home boolean, node_id string, code binary")
+    return rows.select("node_id", "code").mapInArrow(run, "cell int, split int, home boolean, entry boolean, node_id string, code binary")
 
 
 def _stable(name: str) -> int:
@@ -177,15 +184,22 @@ def _ranked(k: int):
         table = table.combine_chunks().sort_by("node_id")  # so that a stable sort breaks ties by id
         names = table.column("node_id").combine_chunks()
         home = np.asarray(table.column("home").to_pylist(), bool)
-        x = _unpack(table.column("code").combine_chunks())
+        held = np.flatnonzero(np.asarray(table.column("entry").to_pylist(), bool))
+        all_rows = _unpack(table.column("code").combine_chunks())
         queries = np.flatnonzero(home)
-        left, right, score = [], [], []
-        wide = x.astype(np.float64)
+        left, right = [], []
+        whole = all_rows.astype(np.float64)
+        x, wide = all_rows[held], whole[held]
+        place = np.full(len(all_rows), -1)
+        place[held] = np.arange(len(held))  # of a row among the entries
         keep = min(k + 4, len(x))  # some more than k, as the first ranking is in single precision
+        if not keep:
+            queries = queries[:0]
         for lo in range(0, len(queries), BLOCK):
             q = queries[lo : lo + BLOCK]
-            s = x[q] @ x.T
-            s[np.arange(len(q)), q] = -np.inf
+            s = all_rows[q] @ x.T
+            mine = np.flatnonzero(place[q] >= 0)
+            s[mine, place[q[mine]]] = -np.inf
             if keep < len(x):
                 best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
                 # whatever ties with the last that is kept must be ranked too
@@ -195,13 +209,13 @@ def _ranked(k: int):
                 best, crowd = np.tile(np.arange(len(x)), (len(q), 1)), np.zeros(len(q), bool)
             for r in range(len(q)):
                 c = np.flatnonzero(s[r] >= floor[r]) if crowd[r] else np.sort(best[r])
-                c = c[c != q[r]]
-                exact = np.round(wide[c] @ wide[q[r]], 12)
+                c = c[held[c] != q[r]]
+                exact = np.round(wide[c] @ whole[q[r]], 12)
                 c = c[np.argsort(-exact, kind="stable")[:k]]
                 left += [q[r]] * len(c)
-                right += c.tolist()
+                right += held[c].tolist()
         at, to = pa.array(left, pa.int64()), pa.array(right, pa.int64())
-        sims = (wide[left] * wide[right]).sum(1) if left else np.empty(0)
+        sims = (whole[left] * whole[right]).sum(1) if left else np.empty(0)
         return pa.table({"node_id": names.take(at), "neighbour": names.take(to), "cosine": pa.array(sims, pa.float64())})
 
     return run
@@ -213,8 +227,8 @@ def neighbours(vectors: DataFrame, k: int = 10, dim: int | None = None, cell_row
     Of several usable rows of a node the one with the greatest created_at counts (see ``usable``). Codebooks of both
     halves of the vectors are trained on at most ``TRAIN_ROWS`` of them. Every vector walks the pairs of centroids by
     summed distance and is posted to the cells near it; within its nearest cell it is then compared with all entries,
-    by cosine in double of the packed vectors (ties: the smaller id first). Cells that hold many rows are split by
-    query. Of exact copies no more than k + 1, with the smallest ids, are entries: nothing else can be among the k best;
+    by cosine in double of the packed vectors (ties: the smaller id first). Cells that hold more than ``most_rows`` are
+    split into blocks of entries and queries, and the best of all blocks are merged. Of exact copies no more than k + 1, with the smallest ids, are entries: nothing else can be among the k best;
     the copies beyond take the k smallest of their group. Fewer than two usable nodes give no rows.
     """
     spark = vectors.sparkSession
@@ -247,6 +261,10 @@ def neighbours(vectors: DataFrame, k: int = 10, dim: int | None = None, cell_row
         extra = _beyond(rows, first, k)
         rows = first.select("node_id", "code")
     found = _posted(rows, index).groupBy("cell", "split").applyInArrow(_ranked(k), "node_id string, neighbour string, cosine double")
+    if index.splits.max() > 1:
+        # at most k rows of each block of entries
+        best = Window.partitionBy("node_id").orderBy(F.round("cosine", 12).desc(), "neighbour")
+        found = found.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k).drop("_rn")
     return found if extra is None else found.unionByName(extra)
 
 

@@ -89,3 +89,33 @@ def test_traverse_is_ordered_and_complete():
     only = np.zeros((5, 4), bool)
     only[2, 3] = True
     assert nb.traverse(a, b, 0.0, only) == [(2, 3)]
+
+
+def tight(n, dim=16, share=0.7, seed=3):
+    """Most vectors in one tight cluster of different vectors."""
+    rng = np.random.default_rng(seed)
+    x = clustered(n, dim, 12, seed).astype(float)
+    base = rng.normal(size=dim) * 3
+    low = rng.normal(size=(n, 4)) @ rng.normal(size=(4, dim)) * 0.03 + 0.005 * rng.normal(size=(n, dim))
+    at = rng.random(n) < share
+    x[at] = base + low[at]
+    return x.astype(np.float32)
+
+
+def test_a_tight_cluster_is_bounded(spark):
+    x = tight(6000)
+    data = rows(x)
+    got = found(nb.neighbours(spark.createDataFrame(data, SCHEMA), 10, cell_rows=200, most_rows=500))
+    want = brute({r[0]: r[1] for r in data})
+    assert len(got) == 6000 and recall(got, want) >= 0.9
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    index = nb.MultiIndex(u[:3000], 6000, 200, most_rows=500)
+    d1, d2 = index.distances(u)
+    cells = [nb.traverse(a, b, index.slack, index.open) for a, b in zip(d1, d2)]
+    assert max(map(len, cells)) <= nb.MOST_CELLS
+    held = np.zeros(index.k**2)
+    for c in cells:
+        for p, q in c:
+            held[p * index.k + q] += 1
+    # a task holds a block of entries and a block of queries, whatever the cell holds
+    assert (held / index.splits).max() <= 2 * 500
