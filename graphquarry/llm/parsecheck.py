@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.language import detect_language, extension, repository
 from ..sources.tables import current
 from .derivative import Grammar, Parser
+from .grammars import LANGUAGES, grammar_of, guessed_language, lexed
 
 MEMO = 50_000
 
@@ -22,7 +23,7 @@ _CONFLICT = ("<<<<<<<", ">>>>>>>", "=======", "|||||||")
 
 #: Words of messages by the class they stand for; other words are tokens of their own.
 _CLASSES = {
-    "opened": "unclosed unterminated unbalanced unmatched dangling stray unpaired mismatched nonterminated",
+    "opened": "unclosed unterminated non-terminated unbalanced unmatched dangling stray unpaired mismatched nonterminated",
     "piece": "string literal template comment block heredoc docstring quote brace braces bracket brackets parenthesis parentheses paren tag delimiter regex regexp char character hunk expression interpolation text sequence array object body list",
     "thing": "token tokens symbol indent indentation dedent character char identifier keyword operator eof end statement expression declaration input newline byte string literal",
     "wrong": "illegal invalid bad malformed unexpected unrecognized unrecognised unknown",
@@ -47,7 +48,7 @@ missing closing|missing @sign|missing ? terminator/semicolon/bracket/brace/paren
 unindent does not match|inconsistent indentation|inconsistent use of tabs|indentationerror|taberror
 merge conflict marker/markers|conflict marker/markers|unresolved/unmerged ? conflict/hunk|both sides of a merge|conflict hunk
 starts with seven
-premature/unexpected end|premature eof|end of file/input/source/text ? reached|reached end of ? inside/in/within/while/before|reached end of file/input/source
+mismatched/extraneous input|@opened comment|garbage after|trailing garbage|produced error|premature/unexpected end|premature eof|end of file/input/source/text ? reached|reached end of ? inside/in/within/while/before|reached end of file/input/source
 input/file/source/text ended/ends inside/in/within/before/while|eof while|eof in/inside|ended inside|truncated file/source/input|file/source/input is truncated|past the end of the
 error node/nodes|root node is error/missing|is error|error [
 could not build ? tree|no tree/ast|grammar @failed|grammar rejected|no rule matches|no viable alternative|no production|does not match the grammar|not in the grammar
@@ -61,7 +62,7 @@ inesperado/inesperada|falta el cierre|falta ? ? cierre|falta @sign|conflicto de
 #: Ways in which those words are used about other things.
 _NOT_SAID = """
 syntax accepted|syntax ? accepted|deprecated syntax|syntax highlighting|unexpected cache|unexpected ? miss|unterminated by|error in another
-no conflict|no merge|parse took|expected ? ? version|than expected|longer than
+expected ? argument/arguments|string encoding|in configuration/config|symbol kind|no conflict|no merge|parse took|expected ? ? version|than expected|longer than
 """
 
 
@@ -165,29 +166,51 @@ def source_tokens(text: str) -> Iterator[tuple[str, int]]:
         yield {"open": m[0], "close": m[0], "triple": "string", "opentriple": "unclosed", "opencomment": "unclosed", "badstring": "unclosed"}.get(kind, kind), m.start()
 
 
-def check_source(text: str | None, parser: Parser | None = None) -> tuple[str, int | None]:
+def check_source(text: str | None, parser: Parser | None = None, language: str | None = None) -> tuple[str, int | None]:
     """(verdict, line): ``ok``, ``invalid`` with the line of the failing token, or ``truncated``.
 
-    Tokens: brackets must nest, strings and comments close, conflict markers must not occur. Null and empty texts are ok.
+    A text of one of ``grammars.LANGUAGES`` is parsed by the lexer and the grammar of its language; in texts of others only
+    brackets must nest, strings and comments close, and conflict markers not occur. Null and empty texts are ok. The
+    grammars take in more than the languages do, so a text that fails is wrong and one that passes may still be.
     """
     if not text:
         return "ok", None
-    parser = parser or Parser(_brackets)
-    ts = list(source_tokens(text))
+    own = language in LANGUAGES or language == "cpp"
+    parser = parser or Parser(grammar_of(language) if own else _brackets)
+    ts = list(lexed(text, language) if own else source_tokens(text))
     at, ended = parser.run([t for t, _ in ts])
     if at is None:
         return ("ok", None) if ended else ("truncated", text.count("\n") + 1)
     return ("truncated" if ts[at][0] == "unclosed" else "invalid"), text.count("\n", 0, ts[at][1]) + 1
 
 
-def checked_sources(sources: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, verdict, line) of every source text; see ``check_source``."""
+def checked_sources(sources: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str | None = None) -> DataFrame:
+    """(id, language, verdict, line) of every source text; see ``check_source``.
+
+    The language is that of ``language_col``; where that is missing or null it is guessed from the text, null if nothing
+    tells it.
+    """
     kind = sources.select(id_col).schema[0].dataType.simpleString()
+    language = F.lower(F.trim(language_col)) if language_col else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Parser(_brackets)
+        parsers: dict[str | None, Parser] = {}
         for b in batches:
-            got = [check_source(t, p) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got]), pa.array([x[1] for x in got], pa.int32())], names=[id_col, "verdict", "line"])
-
-    return sources.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, verdict string, line int")
+            langs = [x or guessed_language(t) for x, t in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
+            got = []
+            for t, x in zip(b.column(1).to_pylist(), langs):
+                if x not in parsers:
+                    parsers[x] = Parser(grammar_of(x) if x in LANGUAGES or x == "cpp" else _brackets)
+                got.append(check_source(t, parsers[x], x))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int32())], names=[id_col, "language", "verdict", "line"])
+
+    rows = sources.select(F.col(id_col), F.col(text_col), language.alias("_language"))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, language string, verdict string, line int")
+
+
+def source_rates(sources: DataFrame, repository_col: str, id_col: str = "doc_id", text_col: str = "text", language_col: str | None = None) -> DataFrame:
+    """(repository, language, files, invalid, truncated, rate) of source texts; a null repository or language is a group."""
+    keyed = sources.select(F.struct(F.col(repository_col).alias("r"), F.col(id_col).alias("i")).alias("_id"), F.col(text_col).alias("_text"), *([F.col(language_col).alias("_lang")] if language_col else []))
+    checked = checked_sources(keyed, "_id", "_text", "_lang" if language_col else None)
+    out = checked.groupBy(F.col("_id.r").alias("repository"), "language").agg(F.count("*").alias("files"), F.count_if(F.col("verdict") == "invalid").alias("invalid"), F.count_if(F.col("verdict") == "truncated").alias("truncated"))
+    return out.withColumn("rate", F.round((F.col("invalid") + F.col("truncated")) / F.col("files"), 6))

@@ -39,9 +39,16 @@ def p4_rates(spark, d):
 
 
 def p4_sources(spark, d):
+    """Each source text by the grammar of its language."""
     return parsecheck.checked_sources(table(spark, d, "documents").filter("doc_type = 'source'"))
 
 
+def p4_source_rates(spark, d):
+    """Rates of source texts that don't parse, per source and language."""
+    docs = table(spark, d, "documents").filter("doc_type = 'source'")
+    return parsecheck.source_rates(docs.withColumn("source", F.lower(F.regexp_replace("source", r"\s+", ""))), "source")
+
+
 def p6_found(spark, d):
     return unwritten.unwritten(table(spark, d, "files")).select("path")
 
@@ -78,6 +85,6 @@ def p9_rates(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_neighbours, p3_found, p3_pairs, p3_source_pairs, p4_found, p4_rates, p4_sources, p6_found, p6_verdicts, p7_ids, p8_found, p8_items, p9_found, p9_scores, p9_rates)
+    for f in (p1_found, p1_neighbours, p3_found, p3_pairs, p3_source_pairs, p4_found, p4_rates, p4_sources, p4_source_rates, p6_found, p6_verdicts, p7_ids, p8_found, p8_items, p9_found, p9_scores, p9_rates)
 }
 SQL: dict[str, str] = {}

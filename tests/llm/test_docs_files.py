@@ -93,6 +93,67 @@ def test_deep_nesting_and_limit():
 def test_sources(text, verdict):
     assert pc.check_source(text) == verdict
 
+# --- grammars of languages ---
+
+VALID = {'python': ["x = (a // b)\n","def f(a, /, *, b=1) -> int:\n    return not a if b else -a\n","x: int = 3; y = [i for i in range(3) if i % 2]\nlambda: 0\n","print('a' \"b\", *c, **d)\nmatch x:\n    case [1, y]:\n        pass\n","@d(1)\nclass A(B):\n  async def g(self): await h()\n","a[::2, 1:] = b\nflag <<= 1\na, = b\n","x = f'{a}' % (1,)\nassert x == y, 'm'\nimport os.path as p\nfrom . import q\n","if x:\n    pass\nelse:\n    y @= z\n"],
+    'javascript': ["if (this.#x) { y(); }","const r = /[(]/; let q = a / b / c;","x => { return {a, ...b}; }\nexport default function () {}\n","a = b ? c : d; `t ${x}`; i++; !a && b || c;\nclass A extends B { static #p = 1; get x() { return 1 } }"],
+    'typescript': ["interface A<T> { a?: string; b: (x: number) => void }\nfunction f<T extends A>(x: T, n = 3): T[] { return x as any; }\ntype U = | 'a' | 'b';"],
+    'rust': ["fn f<'a>(x: &'a str) -> &'a str { x }","let c = '\\''; let s = r#\"a \"b\"\"#; let f = || 3; match x { 1..=2 => (), _ => {} } #[derive(Debug)] struct A;"],
+    'go': ["package main\nfunc (a *A) F(x ...int) (int, error) { x := <-c; for i := range y { i++ }; return `raw`, nil }\ntype S struct { A int `json:\"a\"` }\n"],
+    'java': ["package a.b; import x.*; public class A<T extends B> { int[] a = {1, 2}; @Override public void f(int... x) throws E { List<Map<String, Integer>> m = new X<>(); char c = '\"'; a[0] %= 2; } }"],
+    'c': ["#include <a.h>\n#define X(a) \\\n  ((a\nint main(void) { char *p = &q; struct s t = {.a = 1}; return *p == '\\'' ? -1 : ~x; }"]}
+WRONG = {'python': ["x = = 3\n","def def f():\n  pass\n","x = \n","int x = 3\n","public class A { int x; }\n","x = 'abc\n","f(a b)\n"],
+    'javascript': ["x = = 3 ;","let a = ;","function function f() {}","f(a, = 2)","x = 'abc\n"],
+    'rust': ["let x = = 3;","fn fn f() {}"],
+    'go': ["x := = 3","func func f() {}"],
+    'java': ["class class A {}","int x = ;","f(a == )"],
+    'c': ["int x = = 3 ;","char c = 'a"],
+    'typescript': ["const x: number = ;"]}
+
+
+@pytest.mark.parametrize("language,text", [(x, t) for x, ts in VALID.items() for t in ts])
+def test_valid_sources(language, text):
+    assert pc.check_source(text, None, language) == ("ok", None)
+
+
+@pytest.mark.parametrize("language,text", [(x, t) for x, ts in WRONG.items() for t in ts])
+def test_wrong_sources(language, text):
+    assert pc.check_source(text, None, language)[0] != "ok"
+
+
+def test_own_modules_parse():
+    """Whole modules parse, and fail once they are cut within a bracket or a line is spoiled."""
+    import pathlib
+
+    parser = Parser(pc.grammar_of("python"))
+    for f in sorted(pathlib.Path(pc.__file__).parents[1].rglob("*.py")):
+        text = f.read_text()
+        assert pc.check_source(text, parser, "python")[0] == "ok", f
+        if "(" in text:
+            assert pc.check_source(text[: text.rindex("(") + 1], parser, "python")[0] == "truncated", f
+        n = text.count("\n")
+        assert pc.check_source(text + "x = = 3\n", parser, "python") == ("invalid", n + 1), f
+
+
+def test_checked_sources(spark):
+    rows = [(1, "def f(:\n", "r"), (2, "package main\nfunc f() {}\n", "r"), (3, None, "r"), (4, "", None), (5, "const x = ;", "r"), (6, "plain words", "q")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id bigint, text string, repo string, verdict string")
+    got = {r["doc_id"]: (r["language"], r["verdict"]) for r in pc.checked_sources(df).collect()}
+    assert got[2] == ("go", "ok") and got[3] == (None, "ok") and got[4] == (None, "ok") and got[5] == ("javascript", "invalid") and got[6] == (None, "ok")
+    rates = {(r["repository"], r["language"]): (r["files"], r["invalid"] + r["truncated"]) for r in pc.source_rates(df, "repo").collect()}
+    assert rates["r", "javascript"] == (1, 1) and rates["r", "go"] == (1, 0) and rates[None, None] == (1, 0)
+    assert pc.checked_sources(df.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("said", ["mismatched input 'foo'", "extraneous input ')'", "non-terminated comment", "garbage after statement", "tree-sitter produced ERROR at 4:2"])
+def test_further_reports(said):
+    assert pc.Messages().failed(said, None)
+
+
+@pytest.mark.parametrize("said", ["Invalid statement in configuration", "invalid string encoding", "Expected 2 arguments but got 3", "unexpected symbol kind: cache miss"])
+def test_further_other_messages(said):
+    assert not pc.Messages().failed(said, None)
+
 
 FAILED = ["Unexpected token '<' at 3:4", "ERROR [1, 2] - [3, 4]", "tree contains 3 error nodes", "merge conflict marker encountered", "PREMATURE END OF INPUT", "unexpected EOF while parsing", "string literal is never closed", "conflicto de fusión sin resolver", "fin de fichier inattendue", "Zeile 3: '}' erwartet, Datei zu Ende", "expected ';' but found 'def'", "grammar rejected the source", "found '|||||||' outside any string", "unterminated template literal"]
 OTHER = ["deprecated syntax accepted: octal literal", "syntax highlighting skipped", "unexpected cache miss, tree rebuilt", "docstring is unterminated by a full stop", "parser pool restarted after an error in another file", "no conflict with the tracked record; merge skipped", "parse took 300 ms, longer than expected", "import x could not be resolved", "EACCES: permission denied, open", "Aborted", "line 3 is longer than 200 characters", "symbol ends after end of previous revision", "No grammar loaded for this language"]
