@@ -26,7 +26,8 @@ SHARED_RUN = 5
 BLOCK_WORDS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
-_TAG = regex.compile(r"</?[A-Za-z][^<>]{0,200}>")
+#: Tags: short ones of any form, and of any length those made of attributes.
+_TAG = regex.compile(r"""</?[A-Za-z](?:[^<>]{0,200}|[\w:.-]*(?>(?:\s+[\w:.@-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?)*)\s*/?)>""")
 _JOINED = regex.compile(r"(?<=\p{Ll})-\r?\n[ \t]*(?=\p{Ll})")
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 _UNSEEN = regex.compile(r"[\p{Cf}­]+")

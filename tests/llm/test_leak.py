@@ -65,3 +65,10 @@ def test_leaks(spark):
     blocks = leak.coverage(d, i, block_words=60).filter(f"own_words >= {leak.OWN_WORDS * (1 - leak.MAY_DIFFER)}")
     assert sorted((r["doc_id"], r["item_id"]) for r in blocks.collect()) == want
     assert leak.leaks(d.filter("false"), i).count() == 0 and leak.leaks(d, i.filter("false")).count() == 0
+
+
+def test_long_tags_are_markup():
+    from graphquarry.llm.leak import words
+
+    assert words('one <a href="' + "x/" * 400 + '" class=\'b\' hidden>two</a> three') == ["one", "two", "three"]
+    assert words("a <b " + "c " * 300 + "< d") == ["a", "b", *["c"] * 300, "d"]
