@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import dirname, name_glob
+from ..sources.scratch import kept
 from ..sources.tables import clean_kind, current, table
 from .skew import tree_aggregate
 
@@ -33,16 +34,13 @@ class Graph:
         now = current(nodes, "id", "updated_at")
         if builtins is not None:
             now = now.unionByName(builtins, allowMissingColumns=True)
-        once = edges.filter(F.col("source").isNotNull() & F.col("target").isNotNull()).groupBy(
-            "source", "target", clean_kind(F.col("kind")).alias("kind"), "line", "col"
-        )
-        once = once.agg(F.min("edge_id").alias("edge_id"), F.max_by("metadata", F.struct(F.col("metadata").isNotNull(), -F.col("edge_id"))).alias("metadata"))
-        return Graph(now, once, current(files, "path", "indexed_at") if files is not None else None)
+        return Graph(now, _once(edges), current(files, "path", "indexed_at") if files is not None else None)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Graph:
-        t = lambda name: table(spark, path, name)
-        return Graph.of(t("nodes"), t("edges"), t("files"), t("builtin_nodes"))
+        """The graph of the tables in a folder. Each table is cleaned when it is first asked for and written to the scratch
+        folder of the application; later graphs of the same files read that, so filters and columns reach the scan."""
+        return _Loaded(spark, path)
 
     # lookups
 
@@ -155,6 +153,39 @@ class Graph:
         return tree_aggregate(self.edges.select("target", "kind"), ["target", "kind"], {"n": ("count", None)})
 
 
+class _Loaded(Graph):
+    """A graph whose tables are cleaned once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path = spark, path
+
+    def _table(self, name: str) -> DataFrame:
+        return table(self._spark, self._path, name)
+
+    def _clean(self, name: str, sources: list[str], make) -> DataFrame:
+        return kept(self._spark, name, [f"{self._path}/{s}.parquet" for s in sources], make)
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._clean("nodes", ["nodes", "builtin_nodes"], lambda: current(self._table("nodes"), "id", "updated_at").unionByName(self._table("builtin_nodes"), allowMissingColumns=True))
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._clean("edges", ["edges"], lambda: _once(self._table("edges")))
+
+    @property
+    def files(self) -> DataFrame:
+        return self._clean("files", ["files"], lambda: current(self._table("files"), "path", "indexed_at"))
+
+
+def _once(edges: DataFrame) -> DataFrame:
+    """One row for each edge, however often it was inserted."""
+    once = edges.filter(F.col("source").isNotNull() & F.col("target").isNotNull()).groupBy(
+        "source", "target", clean_kind(F.col("kind")).alias("kind"), "line", "col"
+    )
+    return once.agg(F.min("edge_id").alias("edge_id"), F.max_by("metadata", F.struct(F.col("metadata").isNotNull(), -F.col("edge_id"))).alias("metadata"))
+
+
 def _kinds(edges: DataFrame, kinds: list[str] | None) -> DataFrame:
     return edges.filter(F.col("kind").isin(kinds)) if kinds else edges
 

@@ -39,6 +39,7 @@ def clear_scratch(spark: SparkSession) -> None:
     for t in spark.catalog.listTables():
         if t.name.startswith("gq_"):
             spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    _KEPT.clear()
     path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -61,6 +62,22 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple, tuple[list, DataFrame]] = {}
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], make) -> DataFrame:
+    """What ``make()`` gives, written once for the files that ``sources`` hold now; made anew when one of them has changed."""
+    files = []
+    for s in sources:
+        at = spark._jvm.org.apache.hadoop.fs.Path(s)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files += [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in (fs.listStatus(at) if fs.exists(at) else [])]
+    key = (spark.sparkContext.applicationId, name, *sources)
+    if key not in _KEPT or _KEPT[key][0] != files:
+        _KEPT[key] = (files, materialize(make(), name))
+    return _KEPT[key][1]
+
+
 def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str = "bucketed") -> DataFrame:
     """Write ``df`` bucketed by ``keys`` to the shared scratch folder; joins on them then need no exchange of it."""
     spark = df.sparkSession

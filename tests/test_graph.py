@@ -132,3 +132,21 @@ def test_latest_record_counts(spark):
     nodes = spark.createDataFrame([row(id="a", name="new", updated_at=2), row(id="a", name="old", updated_at=1), row(id="a", name="new", updated_at=2), row(id=None, name="x"), row(id="b", name="none")], NODES)
     g = Graph.of(nodes.withColumn("_rank", F.lit(1)), spark.createDataFrame([], EDGES))
     assert ids(g.nodes, "id", "name") == [("a", "new"), ("b", "none")]
+
+
+def test_tables_are_cleaned_once(spark, tmp_path):
+    """A loaded graph reads what was written before, and cleans anew what has changed."""
+    from graphquarry.sources.tables import EDGES, FILES, NODES
+
+    def write(n):
+        spark.createDataFrame([("a", "function", "a", "a", "x.py", "python", 1, 2, 0, 0, None, None, None, True, None, None, None, None, None, k) for k in range(n)], NODES).write.mode("overwrite").parquet(f"{tmp_path}/nodes.parquet")
+        spark.createDataFrame([(k, "a", "b", " Calls", None, k % n, 0) for k in range(2 * n)], EDGES).write.mode("overwrite").parquet(f"{tmp_path}/edges.parquet")
+
+    spark.createDataFrame([], FILES).write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([("b", "function", "b", "b", "python")], "id string, kind string, name string, qualified_name string, language string").write.parquet(f"{tmp_path}/builtin_nodes.parquet")
+    write(2)
+    first = Graph.load(spark, str(tmp_path))
+    assert first.nodes.count() == 2 and first.edges.count() == 2 and first.files.count() == 0
+    assert Graph.load(spark, str(tmp_path)).edges.inputFiles() == first.edges.inputFiles()
+    write(3)
+    assert Graph.load(spark, str(tmp_path)).edges.count() == 3
