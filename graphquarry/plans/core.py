@@ -11,6 +11,7 @@ from ..operators import evaluate as E
 from ..operators import extract as N
 from ..operators import frameworks as W
 from ..operators import mutate as M
+from ..operators import packed as P
 from ..operators import resolve as R
 from ..operators import search as S
 from ..operators import traverse as T
@@ -280,7 +281,7 @@ def bfs_subgraph(spark, d):
 @q(_WITH + ", s AS (SELECT id FROM n WHERE kind = 'component'), u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), w AS (SELECT id AS seed, id, 0 AS d FROM s UNION SELECT w.seed, u.b, w.d + 1 FROM w JOIN u ON u.a = w.id JOIN n x ON x.id = u.b WHERE w.d < 2) SELECT seed, id, min(d)::INT AS depth FROM w GROUP BY 1, 2")
 def bfs_both(spark, d):
     graph = g(spark, d)
-    return T.reach(graph, graph.nodes_of_kind("component"), 2, direction="both").select("seed", "id", "depth")
+    return P.distances(graph, graph.nodes_of_kind("component"), 2, direction="both")
 
 
 @q()
