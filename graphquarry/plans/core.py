@@ -260,8 +260,8 @@ def type_hierarchy(spark, d):
    + " SELECT seed AS from_id, id AS to_id, d::INT AS hops FROM w WHERE id IN (SELECT id FROM n WHERE kind = 'enum')")
 def path_lengths(spark, d):
     graph = g(spark, d)
-    tree = T.reach(graph, graph.nodes_of_kind("namespace"))
-    return tree.join(graph.nodes_of_kind("enum").select("id"), "id", "left_semi").select(F.col("seed").alias("from_id"), F.col("id").alias("to_id"), F.col("depth").alias("hops"))
+    hit = P.distances(graph, graph.nodes_of_kind("namespace"), targets=graph.nodes_of_kind("enum"))
+    return hit.select(F.col("seed").alias("from_id"), F.col("id").alias("to_id"), F.col("depth").alias("hops"))
 
 
 @q()
