@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 from .graph import Graph, _kinds
 from .hierarchy import hierarchy
+from .packed import shortest
 
 
 def adjacency(edges: DataFrame, direction: str = "outgoing", kinds: list[str] | None = None) -> DataFrame:
@@ -106,8 +107,12 @@ def paths(graph: Graph, ends: DataFrame, edge_kinds: list[str] | None = None, ma
     """(from_id, to_id, hops, nodes) of a shortest directed path for each row of ``ends(from_id, to_id)``.
 
     No row if an end doesn't exist or no path leads there; a node reaches itself in no hops. Of equal paths the one
-    through the smallest edges counts. The search goes from ``from_id`` and stops when no new node is found.
+    through the smallest edges counts. Where edges or ends are too many to be packed (``packed.shortest``) the search goes
+    from ``from_id``, a join for each hop, and stops when no new node is found.
     """
+    found = shortest(graph, ends, edge_kinds, max_depth)
+    if found is not None:
+        return found
     tree = reach(graph, ends.select(F.col("from_id").alias("id")), max_depth, edge_kinds)
     hit = tree.join(ends.distinct(), (F.col("seed") == F.col("from_id")) & (F.col("id") == F.col("to_id")))
     steps = hit.select("from_id", "to_id", F.col("depth").alias("hops"), F.posexplode_outer("via").alias("pos", "edge_id"))

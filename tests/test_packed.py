@@ -85,3 +85,23 @@ def chain(spark, at, first, last, n=60):
 def test_path_lengths_takes_no_job_for_a_hop(spark, tmp_path, jobs):
     at, ids = chain(spark, tmp_path, "namespace", "enum")
     assert rows(core.path_lengths(spark, str(at)), "from_id", "to_id", "hops") == [(ids[0], ids[-1], 59)] and jobs() < 40
+
+
+@pytest.mark.parametrize("depth,kinds", [(None, None), (4, None), (None, ["calls"])])
+def test_paths_are_those_of_reach(spark, monkeypatch, depth, kinds):
+    edges, known = tangle()
+    g = tables(spark, edges[::-1], known)
+    rng = random.Random(1)
+    ends = [(rng.choice([*known]), rng.choice([*known])) for _ in range(300)] + [("n0", "n0"), ("hub", "n200"), ("n0", "gone"), ("nope", "n1"), (None, "n1"), ("n0", "n9"), ("n0", "n9")]
+    ends = spark.createDataFrame(ends, "from_id string, to_id string")
+    got = rows(T.paths(g, ends, kinds, depth), "from_id", "to_id", "hops", "nodes")
+    monkeypatch.setattr(P, "PACKED_EDGES", 0)
+    assert got == rows(T.paths(g, ends, kinds, depth), "from_id", "to_id", "hops", "nodes") and len(got) > 3
+    monkeypatch.undo()
+    assert T.paths(g, ends.limit(0)).count() == 0
+
+
+def test_path_nodes_takes_no_job_for_a_hop(spark, tmp_path, jobs):
+    at, ids = chain(spark, tmp_path, "component", "enum")
+    spark.createDataFrame([("b", "class", "b", "b", "python")], "id string, kind string, name string, qualified_name string, language string").write.mode("overwrite").parquet(f"{at}/builtin_nodes.parquet")
+    assert rows(core.path_nodes(spark, str(at)), "hops", "nodes") == [(60, [*ids, "b"])] and jobs() < 40
