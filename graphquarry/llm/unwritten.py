@@ -26,7 +26,8 @@ TREES, DEPTH, LEAF, SEED = 60, 4, 12, 7
 #: Share of labelled files among those alike from which the forest of densities, and that of marks, finds a file unwritten. Many
 #: minified and data files bear no label, so the first share is a lower bound.
 LIKE_DENSE, LIKE_MARKED = 0.3, 0.5
-#: A mark of a path counts if noticed files have it at least so often, and in such a share of all files; most such marks.
+#: A mark of a path counts if noticed files have it at least so often, and in such a share of all files; most such marks that
+#: are broadcast, more are joined.
 LEAST_MARKED, LEAST_SHARE, MOST_MARKS = 3, 2e-5, 200_000
 #: Unnoticed files added to those that bear a mark, so that few sightings say little.
 FEW_OTHERS = 6.0
@@ -197,6 +198,9 @@ class Forest:
         return out / max(len(self.trees), 1)
 
 
+_FILE = "path string, tidy string, size bigint, node_count bigint, notice string"
+
+
 def _current_files(files: DataFrame) -> DataFrame:
     """(path, tidy, size, node_count, notice) of the current record of every path, written once."""
     now = current(files.select("path", "size", "node_count", "indexed_at"), "path", "indexed_at")
@@ -207,14 +211,13 @@ def _current_files(files: DataFrame) -> DataFrame:
             found = pa.array([notice(p) for p in b.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=["path", "tidy", "size", "node_count", "notice"])
 
-    return materialize(now.mapInArrow(run, "path string, tidy string, size bigint, node_count bigint, notice string"), "files")
+    return materialize(now.mapInArrow(run, _FILE), "files")
 
 
-def mark_rates(rows: DataFrame) -> Rates:
-    """Of each mark of paths (see ``marks``) the files that bear it and those of them with a notice, over all files.
+def mark_rates(rows: DataFrame) -> DataFrame:
+    """(mark, n, c): of each mark of paths (see ``marks``) the files that bear it and those of them with a notice, over all files.
 
-    Marks of fewer than ``LEAST_MARKED`` noticed files, or of a share of all files below ``LEAST_SHARE``, say nothing; as a
-    path has few marks, there can't be many others, and ``MOST_MARKS`` bounds them in any case.
+    Marks of fewer than ``LEAST_MARKED`` noticed files, or of a share of all files below ``LEAST_SHARE``, say nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,26 +232,50 @@ def mark_rates(rows: DataFrame) -> Rates:
 
     total = rows.count()
     sums = rows.select("tidy", "notice").mapInArrow(run, "mark string, n bigint, c bigint").groupBy("mark").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    kept = sums.filter(F.col("c") >= max(LEAST_MARKED, int(LEAST_SHARE * total))).orderBy(F.desc("c"), "mark").limit(MOST_MARKS)
-    return Rates({r["mark"]: (r["n"], r["c"]) for r in kept.collect()})
+    return materialize(sums.filter(F.col("c") >= max(LEAST_MARKED, int(LEAST_SHARE * total))), "marks")
+
+
+def rated(rows: DataFrame) -> DataFrame:
+    """``rows`` with the rates of the marks of their folders and names (see ``Rates.of``), written once.
+
+    Up to ``MOST_MARKS`` marks are broadcast; more are joined with the marks of each path, to the same rates.
+    """
+    known = mark_rates(rows)
+    few = known.count() <= MOST_MARKS
+    sent = rows.sparkSession.sparkContext.broadcast(Rates({r["mark"]: (r["n"], r["c"]) for r in known.collect()}) if few else None)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [[sent.value.of(m, k is not None) for m in marks(p)] for p, k in zip(b.column(1).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r[j] for r in both], pa.float64()) for j in (0, 1))], names=[*b.schema.names, "folders", "names"])
+
+    if few:
+        return materialize(rows.mapInArrow(look, f"{_FILE}, folders double, names double"), "rated")
+
+    def borne(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(p, k is not None, j, m) for p, tidy, k in zip(*(b.column(i).to_pylist() for i in (0, 1, 4))) for j, found in enumerate(marks(tidy)) for m in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], kind) for i, kind in enumerate((pa.string(), pa.bool_(), pa.int32(), pa.string()))], names=["path", "noticed", "side", "mark"])
+
+    hit = rows.mapInArrow(borne, "path string, noticed boolean, side int, mark string").join(known, "mark").filter(F.col("c") > F.col("noticed").cast("bigint"))
+    rate = (F.col("c") - F.col("noticed").cast("bigint")).cast("double") / (F.col("n") - 1 + F.lit(FEW_OTHERS))
+    best = hit.groupBy("path").agg(*[F.max(F.when(F.col("side") == j, rate)).alias(name) for j, name in enumerate(("folders", "names"))])
+    return materialize(rows.join(best, "path", "left").fillna(0.0, ["folders", "names"]), "rated")
 
 
-def _row(rates: Rates, noticed: bool, path: str, size: int | None, nodes: int | None) -> list[float]:
-    folders, names = marks(path)
-    a, b = rates.of(folders, noticed), rates.of(names, noticed)
+def _row(a: float, b: float, path: str, size: int | None, nodes: int | None) -> list[float]:
     return [*features(path, size, nodes), a, b, max(a, b)]
 
 
 @dataclass
 class Forests:
-    """The forest of densities and that of marks, and the rates of marks that the second sees; None where there was nothing to learn."""
+    """The forest of densities and that of marks; None where there was nothing to learn."""
 
     density: Forest | None
     marked: Forest | None
-    rates: Rates
 
-    def predict(self, rows: list[tuple], noticed: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.array([_row(self.rates, k, *g) for g, k in zip(rows, noticed)])
+    def predict(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array([_row(*r) for r in rows])
         none = np.zeros(len(rows))
         return self.density.predict(x[:, : len(FEATURES)]) if self.density else none, self.marked.predict(x) if self.marked else none
 
@@ -257,7 +284,7 @@ def _grown(x: np.ndarray, y: np.ndarray) -> Forest | None:
     return Forest().fit(x, y) if len(y) and y.any() and not y.all() else None
 
 
-def grow(rows: DataFrame, rates: Rates, train_rows: int = TRAIN_ROWS) -> Forests:
+def grow(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Forests:
     """The forests that tell unwritten files, grown on at most about ``train_rows`` of them.
 
     That of densities tells minified, bundled and data files from sizes and symbols and from how names are written; its
@@ -270,12 +297,12 @@ def grow(rows: DataFrame, rates: Rates, train_rows: int = TRAIN_ROWS) -> Forests
     kept = sample.orderBy("path").collect()
     got = [(r["tidy"], r["size"], r["node_count"]) for r in kept]
     if not got:
-        return Forests(None, None, rates)
+        return Forests(None, None)
     kinds = [r["notice"] for r in kept]
-    x = np.array([_row(rates, k is not None, *g) for g, k in zip(got, kinds)])
+    x = np.array([_row(r["folders"], r["names"], *g) for g, r in zip(got, kept)])
     keep = [k for k, kind in enumerate(kinds) if kind in (None, "built")]
     dense = np.array([float(kinds[k] == "built" or _DATA.search(got[k][0]) is not None) for k in keep])
-    return Forests(_grown(x[keep][:, : len(FEATURES)], dense), _grown(x, np.array([float(k is not None) for k in kinds])), rates)
+    return Forests(_grown(x[keep][:, : len(FEATURES)], dense), _grown(x, np.array([float(k is not None) for k in kinds])))
 
 
 def judged(files: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -287,16 +314,16 @@ def judged(files: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     null size or node_count is a feature of its own. Where no file bears a notice nothing can be learned and
     every file is ``written``.
     """
-    rows = _current_files(files)
-    sent = files.sparkSession.sparkContext.broadcast(grow(rows, mark_rates(rows), train_rows))  # trees of at most 2^DEPTH leaves, MOST_MARKS marks
+    rows = rated(_current_files(files))
+    sent = files.sparkSession.sparkContext.broadcast(grow(rows, train_rows))  # trees of at most 2^DEPTH leaves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            got = list(zip(*[b.column(k).to_pylist() for k in (1, 2, 3)]))
+            got = list(zip(*[b.column(k).to_pylist() for k in (5, 6, 1, 2, 3)]))
             kinds = b.column(4).to_pylist()
-            dense, marked = sent.value.predict(got, [k is not None for k in kinds])
+            dense, marked = sent.value.predict(got)
             dense, marked = dense / LIKE_DENSE, marked / LIKE_MARKED
             like = np.maximum(dense, marked)
             out = [(k or ("alike" if m >= 1 else "dense")) if p >= 1 else "written" for k, p, m in zip(kinds, like, marked)]
